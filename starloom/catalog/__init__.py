@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS: tuple[str, ...] = ()
+TOPICS = ("builder", "dimensions")
 
 
 def _modules():
