@@ -26,7 +26,7 @@ def cumulate(yesterday: DataFrame, today: DataFrame, key: str, measures: list[st
     """Cumulative table: history grows by today's struct; is_active and years_since_last_active follow."""
     j = yesterday.alias("y").join(today.alias("t"), F.col(f"y.{key}") == F.col(f"t.{key}"), "full")
     here = F.col(f"t.{key}").isNotNull()
-    kind = yesterday.schema[history].dataType
+    kind = yesterday.schema[history].dataType.simpleString()
     old = F.coalesce(f"y.{history}", F.array().cast(kind))
     entry = F.array(F.struct(*(F.col(f"t.{m}").alias(m) for m in measures), F.lit(period).alias("period"))).cast(kind)
     return j.select(
