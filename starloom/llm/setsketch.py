@@ -33,6 +33,8 @@ REGISTERS, BAND, BASE, RATE, TOP = 112, 4, 1.02, 20.0, 4094
 SMALL_BUCKET = 24
 #: Large buckets with up to so many members outside their largest component pair those with all the others.
 STRAGGLERS = 64
+#: Bits of the sieve of documents whose full sets are wanted.
+SIEVE_BITS = 26
 _seeds = np.random.default_rng(77).integers(1, 2**63, (2, REGISTERS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -68,7 +70,10 @@ def registers_of(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """key, n (set size), f1, f2 (fingerprint), registers (binary), bands (array of hashes; null for the empty set)."""
+    """key, n (set size), f1, f2 (fingerprint), p1, p2 (the registers' lowest bits), registers (binary), bands (array of hashes).
+
+    The last two are null for the empty set.
+    """
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
 
@@ -78,7 +83,7 @@ def sketches(docs: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
                 sets = list(shingle_sets(raw, off, k))
                 n = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(n)
-                f = np.zeros((2, j - i), np.int64)
+                f = np.zeros((4, j - i), np.int64)
                 regs, bands = [None] * (j - i), [None] * (j - i)
                 if len(full):
                     grams = np.concatenate([sets[x] for x in full])
@@ -87,16 +92,19 @@ def sketches(docs: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
                     f[1, full] = np.add.reduceat(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), starts).view(np.int64)
                     r = registers_of(grams, starts)
                     b = gram_rows(r).view(np.int64)
+                    low = np.zeros((len(full), 128), np.uint8)
+                    low[:, :REGISTERS] = r & 1
+                    f[2:, full] = np.packbits(low, axis=1).view(np.int64).T
                     for at, row, keys in zip(full, r, b, strict=True):
                         regs[at], bands[at] = row.tobytes(), keys
                 ids = like(batch.slice(i, j - i), key)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n), pa.array(f[0]), pa.array(f[1]), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], [key, "n", "f1", "f2", "registers", "bands"]
+                    [ids, pa.array(n), *(pa.array(x) for x in f), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], [key, "n", "f1", "f2", "p1", "p2", "registers", "bands"]
                 )
 
     from pyspark.sql import types as T
 
-    fields = [T.StructField(key, kind), *(T.StructField(c, T.LongType()) for c in ("n", "f1", "f2")), T.StructField("registers", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    fields = [T.StructField(key, kind), *(T.StructField(c, T.LongType()) for c in ("n", "f1", "f2", "p1", "p2")), T.StructField("registers", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     return docs.select(key, "text").mapInArrow(run, T.StructType(fields))
 
 
@@ -154,17 +162,31 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(lambda it: _kept_pairs(it, fits), pairs.select("a", "b").schema)
 
 
-def full_sets(docs: DataFrame, k: int, key: str) -> DataFrame:
-    """key and the document's full set as binary."""
+def full_sets(docs: DataFrame, ids: DataFrame, k: int, key: str) -> DataFrame:
+    """key and the document's full set as binary, for the documents in ``ids`` (and a few others).
+
+    The texts stay where they are: a bit sieve of a fixed size (2 ** SIEVE_BITS, made of
+    at most 2 ** SIEVE_BITS / 64 rows) tells the documents that are wanted.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(key), 64 - SIEVE_BITS)
+    words = ids.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    sieve = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    sieve[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches):
+        bits = shared.value
         for batch in batches:
+            at = like(batch, "_h").to_numpy(zero_copy_only=False)
+            wanted = pa.array((bits[at >> 6] >> (at & 63)) & 1 > 0)
+            batch = pa.RecordBatch.from_arrays([like(batch, c).filter(wanted) for c in (key, "text")], [key, "text"])
             for i, j, raw, off in steps(text_column(batch)):
                 yield pa.RecordBatch.from_arrays([like(batch.slice(i, j - i), key), pa.array([s.tobytes() for s in shingle_sets(raw, off, k)], pa.binary())], [key, "s"])
 
     from pyspark.sql import types as T
 
-    return docs.select(key, "text").mapInArrow(run, T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("s", T.BinaryType())]))
+    known = docs.filter(F.col(key).isNotNull()).select(key, "text", h.alias("_h"))
+    return known.mapInArrow(run, T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("s", T.BinaryType())]))
 
 
 def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -183,21 +205,27 @@ def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return exact.union(stars.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))), large.select("bucket", "id")
 
 
-def stragglers(large: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What leaders may have missed, from the rows of large buckets and the components so far.
+def low_bits(percent: int) -> int:
+    """In how many of the registers' low bits two sets of that similarity may differ (five deviations above the mean)."""
+    p = (1 - percent / 100) / 2
+    return int(REGISTERS * p + 5 * (REGISTERS * p * (1 - p)) ** 0.5) + 1
+
+
+def stragglers(placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What leaders may have missed, from rows (bucket, id, root, n, p1, p2) of large buckets.
 
     Where at most STRAGGLERS members of a bucket are outside its largest component,
-    they are paired with every member of another component: STRAGGLERS pairs a member
-    at most.  The rows of other buckets come back second, for finer buckets.
+    they meet every member of another component that has a fitting size and fitting
+    low bits.  The rows of other buckets come back second, for finer buckets.
     """
-    placed = large.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
     most = by_root.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top")).withColumn("out", F.col("size") - F.col("top.c")).filter("out > 0")
     placed = placed.join(most.select("bucket", "out", F.col("top.root").alias("main")), "bucket")
     few = placed.filter(F.col("out") <= STRAGGLERS)
-    outside = few.filter("root <> main").select("bucket", F.col("id").alias("x"), F.col("root").alias("other"))
-    met = few.join(outside, "bucket").filter("root <> other")
-    return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")), placed.filter(F.col("out") > STRAGGLERS).select("bucket", "id")
+    outside = few.filter("root <> main").select("bucket", F.col("id").alias("x"), F.col("root").alias("xr"), F.col("n").alias("xn"), F.col("p1").alias("x1"), F.col("p2").alias("x2"))
+    alike = F.expr(f"bit_count(p1 ^ x1) + bit_count(p2 ^ x2) <= {low_bits(percent)}") & (F.least("n", "xn") * 100 >= F.greatest("n", "xn") * percent)
+    met = few.join(outside, [few["bucket"] == outside["bucket"], F.col("root") != F.col("xr"), alike])
+    return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")), placed.filter(F.col("out") > STRAGGLERS).select("bucket", "id", "root", "n", "p1", "p2")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -249,7 +277,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     base = spark.read.schema(base.schema).parquet(path)
     real = base.filter(F.col("n") > 0).filter(F.col(key).isNotNull())
     classes = real.groupBy("n", "f1", "f2").agg(F.min(key).alias("rep"))
-    reps = real.join(classes, ["n", "f1", "f2"]).filter(F.col(key) == F.col("rep")).select(key, "n", "registers", "bands").dropDuplicates([key])
+    reps = real.join(classes, ["n", "f1", "f2"]).filter(F.col(key) == F.col("rep")).select(key, "n", "p1", "p2", "registers", "bands").dropDuplicates([key])
     rep_path = shared_path(spark, "representatives")
     reps.write.parquet(rep_path)
     reps = spark.read.schema(reps.schema).parquet(rep_path)
@@ -268,7 +296,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         """The pairs that are links."""
         guess = kept(likely(pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(enough), percent / 100 - 0.17), "pairs")
         ids = guess.select(F.col("a").alias(key)).union(guess.select(F.col("b").alias(key))).distinct()
-        sets = kept(full_sets(docs.join(ids, key, "left_semi"), k, key), "sets").dropDuplicates([key])
+        sets = kept(full_sets(docs, ids, k, key), "sets").dropDuplicates([key])
         return confirmed(guess.join(sets.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b"), percent)
 
     rows = reps.select(F.explode("bands").alias("bucket"), F.col(key).alias("id"))
@@ -280,12 +308,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     roots = components(links)
     large = kept(large, "large")
     if not large.isEmpty():
-        late, rest = stragglers(large, roots)
+        member = reps.select(F.col(key).alias("id"), "n", "p1", "p2").join(large.select("id").distinct(), "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        late, rest = stragglers(kept(large.join(member, "id"), "placed"), percent)
         # finer buckets: members of a bucket that share a second one as well
         rest = kept(rest, "rest")
-        finer = rest.join(rest.select("id", F.col("bucket").alias("second")), "id").filter("bucket < second").select(F.xxhash64("bucket", "second").alias("bucket"), "id")
-        finer_pairs, finer_large = bucket_pairs(finer)
-        finer_late, _ = stragglers(finer_large, roots)
+        finer = rest.join(rest.select("id", F.col("bucket").alias("second")), "id").filter("bucket < second").select(F.xxhash64("bucket", "second").alias("bucket"), "id", "root", "n", "p1", "p2")
+        finer_pairs, finer_large = bucket_pairs(finer.select("bucket", "id"))
+        finer_late, _ = stragglers(finer.join(finer_large.select("bucket").distinct(), "bucket", "left_semi"), percent)
         found = verified(late.union(finer_pairs).union(finer_late))
         roots = components(links.union(found))
     for p in temporary:
