@@ -8,7 +8,7 @@ registers are the likelier the more two sets share.
 1. Every document gets its set size, a 128-bit fingerprint of the set, and registers.
 2. Documents with equal sets form a class, represented by its smallest id.
 3. Representatives that agree on a whole band of registers share a bucket.  Small
-   buckets give all their pairs; a large one pairs each member with three leaders, so
+   buckets give all their pairs; a large one pairs each member with two leaders, so
    that no group is squared.  One component is all that a group of copies has to
    become; members of a large bucket that are still outside its largest component
    after that meet all the others in a second pass (see ``stragglers``).
@@ -189,43 +189,51 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, key: str) -> DataFrame:
     return known.mapInArrow(run, T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("s", T.BinaryType())]))
 
 
-def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs a < b from rows (bucket, id), and the rows of large buckets.
+def low_bits(percent: int) -> int:
+    """In how many of the registers' low bits two sets of that similarity may differ (five deviations above the mean)."""
+    p = (1 - percent / 100) / 2
+    return int(REGISTERS * p + 5 * (REGISTERS * p * (1 - p)) ** 0.5) + 1
+
+
+def alike(percent: int):
+    """Sizes and low bits (n, p1, p2 and xn, x1, x2) that sets of that similarity have."""
+    return F.expr(f"bit_count(p1 ^ x1) + bit_count(p2 ^ x2) <= {low_bits(percent)}") & (F.least("n", "xn") * 100 >= F.greatest("n", "xn") * percent)
+
+
+def bucket_pairs(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b from rows (bucket, id, n, p1, p2), and (bucket, id) of the rows of large buckets.
 
     A bucket of up to SMALL_BUCKET members gives all its pairs, a larger one pairs
-    each member with three leaders.
+    each member with two leaders; of all these, those that may be alike.
     """
-    order = lambda seed: F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), F.col("id").alias("id")))["id"]
-    sums = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("l0"), order(1).alias("l1"), order(2).alias("l2")).filter("size > 1")
+    me = F.struct("id", "n", "p1", "p2")
+    sums = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(me).alias("l0"), F.min(F.struct(F.xxhash64("id").alias("h"), me.alias("m")))["m"].alias("l1")).filter("size > 1")
     joined = rows.join(sums, "bucket")
-    small = joined.filter(F.col("size") <= SMALL_BUCKET).select("bucket", "id")
-    exact = small.join(small.select("bucket", F.col("id").alias("other")), "bucket").filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    small = joined.filter(F.col("size") <= SMALL_BUCKET).select("bucket", "id", "n", "p1", "p2")
+    other = small.select(F.col("bucket").alias("there"), F.col("id").alias("x"), F.col("n").alias("xn"), F.col("p1").alias("x1"), F.col("p2").alias("x2"))
+    exact = small.join(other, [F.col("bucket") == F.col("there"), F.col("id") < F.col("x"), alike(percent)]).select(F.col("id").alias("a"), F.col("x").alias("b"))
     large = joined.filter(F.col("size") > SMALL_BUCKET)
-    stars = large.select("id", F.explode(F.array("l0", "l1", "l2")).alias("other")).filter("id <> other")
-    return exact.union(stars.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))), large.select("bucket", "id")
-
-
-def low_bits(percent: int) -> int:
-    """In how many of the registers' low bits two sets of that similarity may differ (five deviations above the mean)."""
-    p = (1 - percent / 100) / 2
-    return int(REGISTERS * p + 5 * (REGISTERS * p * (1 - p)) ** 0.5) + 1
+    stars = large.select("id", "n", "p1", "p2", F.explode(F.array("l0", "l1")).alias("l")).select("id", "n", "p1", "p2", F.col("l.id").alias("x"), F.col("l.n").alias("xn"), F.col("l.p1").alias("x1"), F.col("l.p2").alias("x2"))
+    stars = stars.filter((F.col("id") != F.col("x")) & alike(percent))
+    return exact.union(stars.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))), large.select("bucket", "id")
 
 
-def stragglers(placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """What leaders may have missed, from rows (bucket, id, root, n, p1, p2) of large buckets.
+def stragglers(placed: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What leaders may have missed, from rows (bucket, id, root) of large buckets and ``members`` (id, root, n, p1, p2).
 
     Where at most STRAGGLERS members of a bucket are outside its largest component,
-    they meet every member of another component that has a fitting size and fitting
-    low bits.  The rows of other buckets come back second, for finer buckets.
+    each of them meets the members of the bucket's other components that may be alike;
+    a pair comes up once, however many buckets it shares.  The rows of other buckets
+    come back second, for finer buckets.
     """
     by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    most = by_root.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top")).withColumn("out", F.col("size") - F.col("top.c")).filter("out > 0")
-    placed = placed.join(most.select("bucket", "out", F.col("top.root").alias("main")), "bucket")
-    few = placed.filter(F.col("out") <= STRAGGLERS)
-    outside = few.filter("root <> main").select("bucket", F.col("id").alias("x"), F.col("root").alias("xr"), F.col("n").alias("xn"), F.col("p1").alias("x1"), F.col("p2").alias("x2"))
-    alike = F.expr(f"bit_count(p1 ^ x1) + bit_count(p2 ^ x2) <= {low_bits(percent)}") & (F.least("n", "xn") * 100 >= F.greatest("n", "xn") * percent)
-    met = few.join(outside, [few["bucket"] == outside["bucket"], F.col("root") != F.col("xr"), alike])
-    return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")), placed.filter(F.col("out") > STRAGGLERS).select("bucket", "id", "root", "n", "p1", "p2")
+    most = by_root.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top")).withColumn("out", F.col("size") - F.col("top.c")).filter("out > 0").select("bucket", "out", F.col("top.root").alias("main"))
+    few = most.filter(F.col("out") <= STRAGGLERS)
+    outside = placed.join(few, "bucket").filter("root <> main").select("bucket", "id", F.col("root").alias("own"))
+    met = outside.join(by_root.select("bucket", "root"), "bucket").filter("root <> own").select("id", "root").distinct()
+    x = met.join(members.drop("root"), "id").select(F.col("id").alias("x"), F.col("root").alias("there"), F.col("n").alias("xn"), F.col("p1").alias("x1"), F.col("p2").alias("x2"))
+    pairs = members.join(x, [F.col("root") == F.col("there"), alike(percent)])
+    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")), placed.join(most.filter(F.col("out") > STRAGGLERS).select("bucket"), "bucket").select("bucket", "id", "root")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -299,8 +307,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         sets = kept(full_sets(docs, ids, k, key), "sets").dropDuplicates([key])
         return confirmed(guess.join(sets.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b"), percent)
 
-    rows = reps.select(F.explode("bands").alias("bucket"), F.col(key).alias("id"))
-    pairs, large = bucket_pairs(rows)
+    rows = reps.select(F.explode("bands").alias("bucket"), F.col(key).alias("id"), "n", "p1", "p2")
+    pairs, large = bucket_pairs(rows, percent)
     # an id that repeats with different texts ties its classes together
     ties = real.join(classes, ["n", "f1", "f2"]).groupBy(key).agg(F.min("rep").alias("r0"), F.collect_set("rep").alias("reps")).filter(F.size("reps") > 1)
     ties = ties.select("r0", F.explode("reps").alias("b")).filter("r0 <> b").select(F.col("r0").alias("a"), "b")
@@ -308,13 +316,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     roots = components(links)
     large = kept(large, "large")
     if not large.isEmpty():
-        member = reps.select(F.col(key).alias("id"), "n", "p1", "p2").join(large.select("id").distinct(), "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        late, rest = stragglers(kept(large.join(member, "id"), "placed"), percent)
+        members = reps.select(F.col(key).alias("id"), "n", "p1", "p2").join(large.select("id").distinct(), "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        members = kept(members, "members")
+        late, rest = stragglers(kept(large.join(members.select("id", "root"), "id"), "placed"), members, percent)
         # finer buckets: members of a bucket that share a second one as well
         rest = kept(rest, "rest")
-        finer = rest.join(rest.select("id", F.col("bucket").alias("second")), "id").filter("bucket < second").select(F.xxhash64("bucket", "second").alias("bucket"), "id", "root", "n", "p1", "p2")
-        finer_pairs, finer_large = bucket_pairs(finer.select("bucket", "id"))
-        finer_late, _ = stragglers(finer.join(finer_large.select("bucket").distinct(), "bucket", "left_semi"), percent)
+        finer = rest.join(rest.select("id", F.col("bucket").alias("second")), "id").filter("bucket < second").select(F.xxhash64("bucket", "second").alias("bucket"), "id", "root")
+        finer_pairs, finer_large = bucket_pairs(finer.join(members.drop("root"), "id").select("bucket", "id", "n", "p1", "p2"), percent)
+        finer_late, _ = stragglers(kept(finer_large.join(members.select("id", "root"), "id"), "finer"), members, percent)
         found = verified(late.union(finer_pairs).union(finer_late))
         roots = components(links.union(found))
     for p in temporary:
