@@ -48,6 +48,8 @@ def walk(words: np.ndarray, starts: np.ndarray, w: int, n_steps: int):
 
 def keys(words: np.ndarray, starts: np.ndarray, classes=CLASSES):
     """(class, walk * SAMPLES + sample, keys of all starts) for every class."""
+    if not classes:
+        return
     for w in range(WALKS):
         open_ = {(c, s): np.full(len(starts), c * 1000 + w * SAMPLES + s + 1, np.uint64) for c in classes for s in range(SAMPLES)}
         use: dict[int, list[tuple[int, int]]] = {}
