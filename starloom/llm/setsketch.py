@@ -31,8 +31,9 @@ from .common import drop_path, gram_hashes, like, lower_words, mix, shared_path,
 REGISTERS, BAND, BASE, RATE, TOP = 112, 4, 1.02, 20.0, 4094
 #: Buckets up to this size give all their pairs.
 SMALL_BUCKET = 24
-#: Large buckets with up to so many members outside their largest component pair those with all the others.
-STRAGGLERS = 64
+#: Members outside a large bucket's largest component that meet all its other components, and comparisons with the
+#: largest component, by member of the bucket, up to which any number of them meets that.
+STRAGGLERS, MEETINGS = 16, 256
 #: Bits of the sieve of documents whose full sets are wanted.
 SIEVE_BITS = 26
 _seeds = np.random.default_rng(77).integers(1, 2**63, (2, REGISTERS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -221,16 +222,21 @@ def bucket_pairs(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 def stragglers(placed: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """What leaders may have missed, from rows (bucket, id, root) of large buckets and ``members`` (id, root, n, p1, p2).
 
-    Where at most STRAGGLERS members of a bucket are outside its largest component,
-    each of them meets the members of the bucket's other components that may be alike;
-    a pair comes up once, however many buckets it shares.  The rows of other buckets
-    come back second, for finer buckets.
+    Members outside a bucket's largest component meet the members of that component,
+    where this takes MEETINGS comparisons a member of the bucket at most, and where at
+    most STRAGGLERS are outside, those of all the bucket's other components; only pairs
+    that may be alike come out, once, however many buckets they share.  The rows of
+    buckets with more members outside come back second, for finer buckets.
     """
     by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    most = by_root.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top")).withColumn("out", F.col("size") - F.col("top.c")).filter("out > 0").select("bucket", "out", F.col("top.root").alias("main"))
+    most = by_root.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top")).withColumn("out", F.col("size") - F.col("top.c")).filter("out > 0").select("bucket", "size", "out", F.col("top.root").alias("main"), (F.col("out") * F.col("top.c")).alias("work"))
     few = most.filter(F.col("out") <= STRAGGLERS)
-    outside = placed.join(few, "bucket").filter("root <> main").select("bucket", "id", F.col("root").alias("own"))
-    met = outside.join(by_root.select("bucket", "root"), "bucket").filter("root <> own").select("id", "root").distinct()
+    # up to STRAGGLERS + 1 components a bucket; each member's are put together before they become rows
+    there = by_root.join(few, "bucket").groupBy("bucket").agg(F.collect_set("root").alias("roots"))
+    main = most.filter(F.col("work") <= F.col("size") * MEETINGS).select("bucket", F.array("main").alias("roots"))
+    outside = placed.join(most.select("bucket", "main"), "bucket").filter("root <> main").select("bucket", "id", F.col("root").alias("own"))
+    met = outside.join(main.union(there), "bucket").groupBy("id", "own").agg(F.array_distinct(F.flatten(F.collect_list("roots"))).alias("roots"))
+    met = met.select("id", "own", F.explode("roots").alias("root")).filter("root <> own").select("id", "root")
     x = met.join(members.drop("root"), "id").select(F.col("id").alias("x"), F.col("root").alias("there"), F.col("n").alias("xn"), F.col("p1").alias("x1"), F.col("p2").alias("x2"))
     pairs = members.join(x, [F.col("root") == F.col("there"), alike(percent)])
     return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")), placed.join(most.filter(F.col("out") > STRAGGLERS).select("bucket"), "bucket").select("bucket", "id", "root")
@@ -319,10 +325,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         members = reps.select(F.col(key).alias("id"), "n", "p1", "p2").join(large.select("id").distinct(), "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         members = kept(members, "members")
         late, rest = stragglers(kept(large.join(members.select("id", "root"), "id"), "placed"), members, percent)
-        # finer buckets: members of a bucket that share a second one as well
-        rest = kept(rest, "rest")
-        finer = rest.join(rest.select("id", F.col("bucket").alias("second")), "id").filter("bucket < second").select(F.xxhash64("bucket", "second").alias("bucket"), "id", "root")
-        finer_pairs, finer_large = bucket_pairs(finer.join(members.drop("root"), "id").select("bucket", "id", "n", "p1", "p2"), percent)
+        # finer buckets: their members' bands two by two
+        again = reps.join(rest.select(F.col("id").alias(key)).distinct(), key).select(F.col(key).alias("id"), "n", "p1", "p2", "bands")
+        finer = again.select(F.explode(F.expr(f"transform(sequence(1, {REGISTERS // BAND - 1}), i -> xxhash64(element_at(bands, i), element_at(bands, i + 1)))")).alias("bucket"), "id", "n", "p1", "p2")
+        finer_pairs, finer_large = bucket_pairs(finer, percent)
         finer_late, _ = stragglers(kept(finer_large.join(members.select("id", "root"), "id"), "finer"), members, percent)
         found = verified(late.union(finer_pairs).union(finer_late))
         roots = components(links.union(found))
