@@ -28,7 +28,7 @@ from .common import like, small_batches, text_column
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Words in a worker's store; beyond it a new one is begun, and words used again move over (results don't change).
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -90,7 +90,7 @@ class Vocabulary:
                 done, y = oy + 0.5, self.halves[y][0]
             else:
                 done, x = ox, self.halves[x][1]
-        if len(self.follows) > 2_000_000:
+        if len(self.follows) > 300_000:
             self.follows.clear()
         self.follows[a, b] = good
         return good
