@@ -38,6 +38,51 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Suffixes:
+    """Which tokens a byte string ends in: an automaton over the tokens' prefixes.
+
+    A state is the longest suffix of the bytes so far that begins some token;
+    ``ends[state]`` are the tokens (length, id) that are suffixes of it, longest first.
+    """
+
+    def __init__(self, ids: dict[bytes, int]):
+        self.children: dict[int, int] = {}
+        self.fallback, self.ends, self.moves = [0], [()], {}
+        own: dict[int, tuple[int, int]] = {}
+        levels: list[list[tuple[int, int, int]]] = []  # by depth: state, its parent and last byte
+        for token, i in ids.items():
+            state = 0
+            for depth, byte in enumerate(token):
+                to = self.children.get(state << 8 | byte)
+                if to is None:
+                    to = self.children[state << 8 | byte] = len(self.fallback)
+                    self.fallback.append(0)
+                    self.ends.append(())
+                    if depth == len(levels):
+                        levels.append([])
+                    levels[depth].append((to, state, byte))
+                state = to
+            own[state] = len(token), i
+        for depth, level in enumerate(levels):
+            for state, parent, byte in level:
+                shorter = self.fallback[state] = self._next(self.fallback[parent], byte) if depth else 0
+                self.ends[state] = (own[state], *self.ends[shorter]) if state in own else self.ends[shorter]
+
+    def _next(self, state: int, byte: int) -> int:
+        to = self.children.get(state << 8 | byte)
+        while to is None and state:
+            state = self.fallback[state]
+            to = self.children.get(state << 8 | byte)
+        return to or 0
+
+    def step(self, state: int, byte: int) -> int:
+        """The state after one more byte; ``moves`` keeps what was asked for."""
+        if len(self.moves) > 300_000:
+            self.moves.clear()
+        to = self.moves[state << 8 | byte] = self._next(state, byte)
+        return to
+
+
 class Vocabulary:
     """Tokens, merges and added tokens of a byte-level BPE file."""
 
@@ -51,7 +96,7 @@ class Vocabulary:
         self.bytes_of = {i: b for b, i in self.ids.items()}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
-        self.longest = max(map(len, self.ids))
+        self.suffixes = Suffixes(self.ids)
         # order[i]: when token i is made (0 for single bytes); halves[i]: what it is made of
         self.order: dict[int, int] = dict.fromkeys(self.ids.values(), 0)
         self.halves: dict[int, tuple[int, int]] = {}
@@ -96,6 +141,20 @@ class Vocabulary:
         return good
 
 
+class Sizes(dict):
+    """Tokens of each pre-token in ``pieces``; others are encoded when they are asked for."""
+
+    def __init__(self, encoder: TrieEncoder, pieces: set[str]):
+        added = encoder.v.added
+        encoder.store({w for w in pieces if w not in added} if added else set(pieces))
+        super().__init__((w, 1 if w in added else len(encoder.known[w]) // 4) for w in pieces)
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = self.encoder.size(piece)
+        return self[piece]
+
+
 class TrieEncoder:
     """Encodes words; keeps what it has found up to KEPT_WORDS words."""
 
@@ -113,49 +172,61 @@ class TrieEncoder:
         leaves the path of the word before it where their common prefix ends, so
         ``last`` always has the states on the path from the root.
         """
-        ids, longest, follow, bytes_of = self.v.ids, self.v.longest, self.v.may_follow, self.v.bytes_of
-        last, before = [-1], b""  # last[d]: last token of the encoding of the path's first d bytes
+        v, follow, follows = self.v, self.v.may_follow, self.v.follows
+        moves, ends = v.suffixes.moves, v.suffixes.ends
+        # of the path's first d bytes: last token of their encoding, where it begins, and what suffix they end in
+        last, begins, states, before = [-1], [0], [0], b""
         for path, word in sorted((w.encode("utf-8"), w) for w in words):
             size, shared = len(path), min(len(before), len(path))
             while before[:shared] != path[:shared]:
                 shared -= 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], begins[shared + 1 :], states[shared + 1 :]
+            state = states[-1]
             for here in range(shared + 1, size + 1):
-                for start in range(here - longest if here > longest else 0, here):
-                    token = ids.get(path[start:here])
-                    if token is not None and (not start or follow(last[start], token)):
-                        last.append(token)
-                        break
+                to = moves.get(state << 8 | path[here - 1])
+                state = v.suffixes.step(state, path[here - 1]) if to is None else to
+                states.append(state)
+                for length, token in ends[state]:
+                    start = here - length
+                    if start:
+                        good = follows.get((last[start], token))
+                        if good is None:
+                            good = follow(last[start], token)
+                        if not good:
+                            continue
+                    last.append(token)
+                    begins.append(start)
+                    break
                 else:
                     raise ValueError(f"the vocabulary has no encoding for {path[:here]!r}")
             out, at = [], size
             while at:
                 out.append(last[at])
-                at -= len(bytes_of[last[at]])
+                at = begins[at]
             out.reverse()
             self.known[word] = struct.pack(f"<{len(out)}I", *out)
             before = path
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text, packed as little-endian uint32."""
+    def store(self, words: set[str]) -> None:
+        """Encode the words that aren't known; changes the set."""
         if len(self.known) > KEPT_WORDS:
             self.older, self.known = self.known, {}
+        known = self.known
+        words.difference_update(known)
+        for word in words.intersection(self.older):
+            known[word] = self.older[word]
+        words.difference_update(known)
+        if words:
+            self.learn(words)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, packed as little-endian uint32."""
         parts = []
         for text in texts:
             pieces = self.added.split(text) if self.added is not None and any(s in text for s in self.v.added) else [text]
             parts.append([(self.v.added[p] if i % 2 else self.split(p)) for i, p in enumerate(pieces)])
-        new: set[str] = set()
+        self.store({w for pieces in parts for p in pieces if not isinstance(p, int) for w in p})
         known = self.known
-        for pieces in parts:
-            for p in pieces:
-                if not isinstance(p, int):
-                    new.update(p)
-        new.difference_update(known)
-        for word in new.intersection(self.older):
-            known[word] = self.older[word]
-        new.difference_update(known)
-        if new:
-            self.learn(new)
         for pieces in parts:
             yield b"".join(np.uint32(p).astype("<u4").tobytes() if isinstance(p, int) else b"".join(map(known.__getitem__, p)) for p in pieces)
 

@@ -16,13 +16,14 @@ from __future__ import annotations
 import bisect
 import hashlib
 from collections.abc import Iterable
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import encoder, slices
+from .bpe import Sizes, encoder, slices
 from .common import like, small_batches, text_column
 
 #: Pre-tokens of a leaf when the tree is made; characters after its end that a match may have looked at.
@@ -30,11 +31,11 @@ LEAF, LOOKAHEAD = 32, 2
 
 
 class CountTree:
-    """The tree of one document; ``count`` gives the tokens of a pre-token."""
+    """The tree of one document; ``count`` gives the tokens of a pre-token, ``tokens`` are the pre-tokens if known."""
 
-    def __init__(self, text: str, split, count):
+    def __init__(self, text: str, split, count, tokens: list[str] | None = None):
         self.split, self.count, self.encoded = split, count, 0
-        tokens = split(text)
+        tokens = split(text) if tokens is None else tokens
         self.leaves = [tokens[i : i + LEAF] for i in range(0, len(tokens), LEAF)] or [[]]
         self.size = 1
         while self.size < len(self.leaves):
@@ -78,19 +79,12 @@ class CountTree:
         """Replace the characters from start to stop."""
         first, at = self.find(max(0, start - LOOKAHEAD))
         # pre-tokens from the first on whose end is LOOKAHEAD - 1 characters before the edit or later
-        head, k, end = self.leaves[first], 0, at
-        while k < len(head) and end + len(head[k]) < start - (LOOKAHEAD - 1):
-            end += len(head[k])
-            k += 1
-        begin, old, ends, leaf = end, [], [], first
-        rest = iter(head[k:])
-        changed = None
+        head = self.leaves[first]
+        sums = list(accumulate(map(len, head), initial=at))
+        k = bisect.bisect_left(sums, start - (LOOKAHEAD - 1), 1) - 1
+        begin, end, old, ends, leaf = sums[k], sums[-1], head[k:], sums[k + 1 :], first
         # take old pre-tokens, a leaf at a time, until the new ones fall in with them
         while True:
-            for t in rest:
-                end += len(t)
-                old.append(t)
-                ends.append(end)
             done = leaf + 1 >= len(self.leaves)
             if end >= stop or done:
                 text = "".join(old)
@@ -99,7 +93,10 @@ class CountTree:
                 if met is not None:
                     break
             leaf += 1
-            rest = iter(self.leaves[leaf])
+            sums = list(accumulate(map(len, self.leaves[leaf]), initial=end))
+            end = sums[-1]
+            old += self.leaves[leaf]
+            ends += sums[1:]
         fresh, taken = met
         # the edited stretch goes to the first leaf; leaves after it lose what was taken from them
         gone = old[:taken]
@@ -165,8 +162,10 @@ def edited_counts(docs: DataFrame, tokenizer: str, rules: list[tuple[str, str]]
                 part = batch.slice(i, len(texts))
                 given = like(part, edits).to_pylist() if edits else [None] * len(texts)
                 rows = []
-                for text, own in zip(texts, given, strict=True):
-                    tree = CountTree(text, enc.pieces, enc.size)
+                split = list(map(enc.pieces, texts))
+                sizes = Sizes(enc, set().union(*split))
+                for text, own, tokens in zip(texts, given, split, strict=True):
+                    tree = CountTree(text, enc.pieces, sizes.__getitem__, tokens)
                     n, pre = tree.total, sum(map(len, tree.leaves))
                     todo = [(e["start"], e["stop"], e["replacement"]) for e in own or []] if edits else rule_edits(text, compiled)
                     for start, stop, new in sorted(todo, reverse=True):
