@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("builder", "dimensions")
+TOPICS = ("builder", "dimensions", "temporal")
 
 
 def _modules():
