@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("builder", "dimensions", "temporal")
+TOPICS = ("builder", "dimensions", "temporal", "hierarchy")
 
 
 def _modules():
