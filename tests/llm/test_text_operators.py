@@ -205,6 +205,23 @@ def test_near_duplicates(spark, docs, rows, monkeypatch, nothing):
     assert setsketch.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_many_components_in_large_buckets(spark, monkeypatch):
+    """Forty groups of three that share most of their text: buckets are large, and few members are in the largest component."""
+    for name, value in (("SMALL_BUCKET", 4), ("STRAGGLERS", 2), ("MEETINGS", 0), ("BLOCK", 7)):
+        monkeypatch.setattr(setsketch, name, value)
+    common, made = prose(100).split(), []
+    for g in range(40):
+        own = common[:]
+        for at in range(3, 100, 24):  # groups stay under 0.8, members of one are above
+            own[at] = f"group{g}"
+        for m in range(3):
+            made.append((g * 3 + m, " ".join([*own, f"end{m}"]), "en"))
+    df = spark.createDataFrame(made, "doc_id bigint, text string, lang string")
+    want = brute_components(made, 5, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setsketch.near_duplicates(df).collect()}
+    assert got == want and len({c for _, c in want.values()}) == 40
+
+
 def test_decontamination(spark, docs, nothing):
     items = [(i, prose(RND.randint(15, 50))) for i in range(30)]
     words = lambda t: t.split()
