@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("builder", "dimensions", "temporal", "hierarchy")
+TOPICS = ("builder", "dimensions", "temporal", "hierarchy", "graph")
 
 
 def _modules():
