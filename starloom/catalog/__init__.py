@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("builder", "dimensions", "temporal", "hierarchy", "graph")
+TOPICS = ("builder", "dimensions", "temporal", "hierarchy", "graph", "questions")
 
 
 def _modules():
