@@ -56,6 +56,41 @@ def hier_rollup_path_nation(t):
     return _rollup(t, 1)
 
 
+def _nodes(t):
+    """The tree as (node, parent)."""
+    mark = lambda m, c: F.concat(F.lit(m), F.col(c).cast("string"))
+    r = t("region").select(mark("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"))
+    n = t("nation").select(mark("n", "n_nationkey"), mark("r", "n_regionkey"))
+    return r.union(n).union(t("customer").select(mark("c", "c_custkey"), mark("n", "c_nationkey")))
+
+
+_ADJACENT = """nodes AS (SELECT 'r' || r_regionkey AS node, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
+links AS (SELECT node AS ancestor, node AS descendant, CAST(0 AS BIGINT) AS depth FROM nodes UNION ALL SELECT parent, descendant, depth + 1 FROM links JOIN nodes ON node = ancestor WHERE parent IS NOT NULL)"""
+
+
+@T.query(f"WITH RECURSIVE {_ADJACENT} SELECT * FROM links")
+def closure_build_adjacency(t):
+    return hierarchy.adjacency_closure(_nodes(t), "node", "parent")
+
+
+@T.query(f"WITH RECURSIVE {_ADJACENT} SELECT ancestor, depth FROM links WHERE descendant = 'c7' AND depth > 0")
+def hier_ancestors_adjacency(t):
+    return hierarchy.adjacency_closure(_nodes(t), "node", "parent").filter("descendant = 'c7' and depth > 0").select("ancestor", "depth")
+
+
+@T.query(f"WITH RECURSIVE {_ADJACENT} SELECT descendant, depth FROM links WHERE ancestor = 'r1' AND depth > 0")
+def hier_descendants_adjacency(t):
+    return hierarchy.adjacency_closure(_nodes(t), "node", "parent").filter("ancestor = 'r1' and depth > 0").select("descendant", "depth")
+
+
+@T.query(f"WITH RECURSIVE {_ADJACENT} SELECT ancestor, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM links JOIN orders ON descendant = 'c' || o_custkey WHERE ancestor LIKE 'n%' GROUP BY 1")
+def hier_rollup_adjacency(t):
+    facts = t("orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("who"), "o_totalprice")
+    nodes = _nodes(t).filter("node like 'n%'").select(F.col("node").alias("ancestor"))
+    out = hierarchy.closure_rollup(facts, hierarchy.adjacency_closure(_nodes(t), "node", "parent"), "who", nodes, F.sum(F.col("o_totalprice").cast("decimal(18,2)")))
+    return out.select("ancestor", F.col("total").cast("double").alias("total"))
+
+
 @T.query("""SELECT CAST(d AS DATE) AS date_value, year(d) AS year, quarter(d) AS quarter, month(d) AS month, week(d) AS week_of_year, isodow(d) - 1 AS day_of_week, day(d) AS day_of_month,
 monthname(d) AS month_name, dayname(d) AS day_name, isodow(d) >= 6 AS is_weekend FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '2002-01-01', INTERVAL 1 DAY) x(d)""")
 def date_dim(t):

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed
+
 
 def build_path(*ids: Column) -> Column:
     """The path of ids from the root down."""
@@ -20,6 +22,26 @@ def closure(tree: DataFrame, key: str, path: str) -> DataFrame:
     return rows.select("ancestor", "descendant", (F.col("_n") - 1 - F.col("_at")).cast("bigint").alias("depth"))
 
 
+def adjacency_closure(nodes: DataFrame, key: str, parent: str, max_depth: int = 100) -> DataFrame:
+    """``closure`` of a tree held as parent keys: one join a level, until no node has a further ancestor."""
+    up = checkpointed(nodes.select(F.col(key).alias("node"), F.col(parent).alias("above")).filter("above is not null"))
+    level = checkpointed(nodes.select(F.col(key).alias("ancestor"), F.col(key).alias("descendant"), F.lit(0).cast("bigint").alias("depth")))
+    out = level
+    for depth in range(1, max_depth + 1):
+        level = checkpointed(level.join(up, F.col("ancestor") == F.col("node")).select(F.col("above").alias("ancestor"), "descendant", F.lit(depth).cast("bigint").alias("depth")))
+        if level.isEmpty():
+            break
+        out = out.union(level)
+    return out
+
+
+def closure_rollup(facts: DataFrame, links: DataFrame, on: str, nodes: DataFrame, value: Column) -> DataFrame:
+    """(ancestor, total) of ``value`` at and below each of ``nodes`` (ancestor), from closure rows; facts are summed by node first."""
+    sums = facts.groupBy(F.col(on).alias("descendant")).agg(value.alias("_v"))
+    wanted = links.join(nodes.select("ancestor"), "ancestor", "left_semi")
+    return wanted.join(sums, "descendant").groupBy("ancestor").agg(F.sum("_v").alias("total"))
+
+
 def rollup(facts: DataFrame, tree: DataFrame, on: str, key: str, path: str, level: int, value: Column) -> DataFrame:
     """ancestor and total of ``value`` below each node of a level (0: the root); facts are summed by node before they meet the tree."""
     sums = facts.groupBy(F.col(on).alias(key)).agg(value.alias("_v"))
