@@ -11,8 +11,8 @@ registers are the likelier the more two sets share.
    buckets give all their pairs; a large one pairs each member with two leaders, so
    that no group is squared.  One component is all that a group of copies has to
    become; members of a large bucket that are still outside its largest component
-   after that meet all the others in a second pass (see ``stragglers``), in finer
-   buckets where they are many, and block by block where these are large too.
+   after that meet all the others in a second pass (see ``stragglers``), block by
+   block where they are many, and by finer buckets first where they are very many.
 4. A pair's Jaccard similarity is estimated from its register comparison counts and
    set sizes by maximum likelihood; pairs far below the threshold go.
 5. The others are compared on their full sets.
@@ -35,6 +35,8 @@ SMALL_BUCKET = 24
 #: Members outside a large bucket's largest component that meet all its other components, and comparisons with the
 #: largest component, by member of the bucket, up to which any number of them meets that.
 STRAGGLERS, MEETINGS = 16, 256
+#: Members outside the largest component up to which a bucket's pairs are compared at once; others get finer buckets first.
+PLAIN = 20_000
 #: Each band is joined with so many following ones for finer buckets; a link of similarity 0.8 has none of these in
 #: common once in 7,000.
 NEIGHBOURS = 6
@@ -245,7 +247,7 @@ def stragglers(placed: DataFrame, members: DataFrame, percent: int) -> tuple[Dat
     met = met.select("id", "own", F.explode("roots").alias("root")).filter("root <> own").select("id", "root")
     x = met.join(members.drop("root"), "id").select(F.col("id").alias("x"), F.col("root").alias("there"), F.col("n").alias("xn"), F.col("p1").alias("x1"), F.col("p2").alias("x2"))
     pairs = members.join(x, [F.col("root") == F.col("there"), alike(percent)])
-    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")), placed.join(most.filter(F.col("out") > STRAGGLERS).select("bucket"), "bucket").select("bucket", "id", "root")
+    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")), placed.join(most.filter(F.col("out") > STRAGGLERS).select("bucket", "out"), "bucket").select("bucket", "id", "root", "out")
 
 
 def blocks(placed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -253,15 +255,19 @@ def blocks(placed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
     The members outside a bucket's largest component are dealt to blocks of about BLOCK,
     which all its members visit, so that no task has more than BLOCK times the bucket's
-    size to compare; what can't be alike goes inside the join.
+    size to compare; what can't be alike goes inside the join, and a pair comes out of
+    the smallest of its common buckets only.
     """
+    # an id has at most a bucket a band (finer ones: NEIGHBOURS a band)
+    all_of = placed.groupBy("id").agg(F.collect_set("bucket").alias("mine"))
     by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
     sums = by_root.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top"))
     sums = sums.select("bucket", F.col("top.root").alias("main"), F.ceil((F.col("size") - F.col("top.c")) / BLOCK).cast("int").alias("blocks")).filter("blocks > 0")
-    rows = placed.join(sums, "bucket").join(members.drop("root"), "id")
-    outside = rows.filter("root <> main").select("bucket", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"), "id", "root", "n", "p1", "p2")
-    there = rows.select(F.col("bucket").alias("at"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("part"), F.col("id").alias("x"), F.col("root").alias("there"), F.col("n").alias("xn"), F.col("p1").alias("x1"), F.col("p2").alias("x2"))
-    pairs = outside.join(there, [F.col("bucket") == F.col("at"), F.col("block") == F.col("part"), F.col("root") != F.col("there"), alike(percent)])
+    rows = placed.join(sums, "bucket").join(members.drop("root"), "id").join(all_of, "id")
+    outside = rows.filter("root <> main").select("bucket", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"), "id", "root", "n", "p1", "p2", "mine")
+    there = rows.select(F.col("bucket").alias("at"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("part"), F.col("id").alias("x"), F.col("root").alias("there"), F.col("n").alias("xn"), F.col("p1").alias("x1"), F.col("p2").alias("x2"), F.col("mine").alias("its"))
+    once = F.col("bucket") == F.array_min(F.array_intersect("mine", "its"))
+    pairs = outside.join(there, [F.col("bucket") == F.col("at"), F.col("block") == F.col("part"), F.col("root") != F.col("there"), alike(percent) & once])
     return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
 
 
@@ -348,14 +354,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         members = reps.select(F.col(key).alias("id"), "n", "p1", "p2").join(large.select("id").distinct(), "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         members = kept(members, "members")
         late, rest = stragglers(kept(large.join(members.select("id", "root"), "id"), "placed"), members, percent)
-        # finer buckets: a band with each of the NEIGHBOURS that follow it, around the end
-        again = reps.join(rest.select(F.col("id").alias(key)).distinct(), key).select(F.col(key).alias("id"), "n", "p1", "p2", "bands")
-        count = REGISTERS // BAND
-        two = f"flatten(transform(sequence(0, {count - 1}), i -> transform(sequence(1, {NEIGHBOURS}), d -> xxhash64(bands[i], bands[(i + d) % {count}]))))"
-        finer = again.select(F.explode(F.expr(two)).alias("bucket"), "id", "n", "p1", "p2")
-        finer_pairs, finer_large = bucket_pairs(finer, percent)
-        finer_late, finer_rest = stragglers(kept(finer_large.join(members.select("id", "root"), "id"), "finer"), members, percent)
-        found = verified(late.union(finer_pairs).union(finer_late).union(blocks(kept(finer_rest, "rest"), members, percent)))
+        rest = kept(rest, "rest")
+        more = late.union(blocks(rest.filter(F.col("out") <= PLAIN), members, percent))
+        vast = rest.filter(F.col("out") > PLAIN)
+        if not vast.isEmpty():
+            # finer buckets: a band with each of the NEIGHBOURS that follow it, around the end
+            again = reps.join(vast.select(F.col("id").alias(key)).distinct(), key).select(F.col(key).alias("id"), "n", "p1", "p2", "bands")
+            count = REGISTERS // BAND
+            two = f"flatten(transform(sequence(0, {count - 1}), i -> transform(sequence(1, {NEIGHBOURS}), d -> xxhash64(bands[i], bands[(i + d) % {count}]))))"
+            finer = again.select(F.explode(F.expr(two)).alias("bucket"), "id", "n", "p1", "p2")
+            finer_pairs, finer_large = bucket_pairs(finer, percent)
+            finer_late, finer_rest = stragglers(kept(finer_large.join(members.select("id", "root"), "id"), "finer"), members, percent)
+            more = more.union(finer_pairs).union(finer_late).union(blocks(kept(finer_rest, "finer-rest"), members, percent))
+        found = verified(more)
         roots = components(links.union(found))
     for p in temporary:
         drop_path(spark, p)

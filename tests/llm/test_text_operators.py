@@ -205,9 +205,10 @@ def test_near_duplicates(spark, docs, rows, monkeypatch, nothing):
     assert setsketch.near_duplicates(nothing).count() == 0
 
 
-def test_near_duplicates_many_components_in_large_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("plain", [2, 1000])
+def test_near_duplicates_many_components_in_large_buckets(spark, monkeypatch, plain):
     """Forty groups of three that share most of their text: buckets are large, and few members are in the largest component."""
-    for name, value in (("SMALL_BUCKET", 4), ("STRAGGLERS", 2), ("MEETINGS", 0), ("BLOCK", 7)):
+    for name, value in (("SMALL_BUCKET", 4), ("STRAGGLERS", 2), ("MEETINGS", 0), ("BLOCK", 7), ("PLAIN", plain)):
         monkeypatch.setattr(setsketch, name, value)
     common, made = prose(100).split(), []
     for g in range(40):
