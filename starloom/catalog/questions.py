@@ -34,7 +34,7 @@ def alg_cse(t):
     return q.compose("both", "union", "only", "out")["out"]
 
 
-_AT = F.struct("ts", "event_id")
+_AT = lambda: F.struct("ts", "event_id")
 _ROW = "e AS (SELECT user_id, event_type AS s, value, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
 _s = lambda *v: F.col("event_type").isin(*v)
 
@@ -53,23 +53,23 @@ def _some(where, e="e"):
 _property("ctl_eventually", _some("s = 'purchase' AND value > 150"), lambda: sequences.eventually(_s("purchase") & (F.col("value") > 150)))
 _property("ctl_once", _some("s = 'error' AND value > 180"), lambda: sequences.eventually(_s("error") & (F.col("value") > 180)))
 _property("ctl_globally", "NOT " + _some("value > 400"), lambda: sequences.globally(F.col("value") <= 400))
-_property("ctl_until", f"EXISTS (SELECT 1 FROM e p WHERE p.user_id = u.user_id AND p.s = 'purchase' AND NOT EXISTS (SELECT 1 FROM e q WHERE q.user_id = p.user_id AND q.i < p.i AND q.s = 'error'))", lambda: sequences.until(~_s("error"), _s("purchase"), _AT))
-_property("ctl_since", f"EXISTS (SELECT 1 FROM e p WHERE p.user_id = u.user_id AND p.s = 'purchase' AND NOT EXISTS (SELECT 1 FROM e q WHERE q.user_id = p.user_id AND q.i > p.i AND q.s = 'error'))", lambda: sequences.since(~_s("error"), _s("purchase"), _AT))
+_property("ctl_until", f"EXISTS (SELECT 1 FROM e p WHERE p.user_id = u.user_id AND p.s = 'purchase' AND NOT EXISTS (SELECT 1 FROM e q WHERE q.user_id = p.user_id AND q.i < p.i AND q.s = 'error'))", lambda: sequences.until(~_s("error"), _s("purchase"), _AT()))
+_property("ctl_since", f"EXISTS (SELECT 1 FROM e p WHERE p.user_id = u.user_id AND p.s = 'purchase' AND NOT EXISTS (SELECT 1 FROM e q WHERE q.user_id = p.user_id AND q.i > p.i AND q.s = 'error'))", lambda: sequences.since(~_s("error"), _s("purchase"), _AT()))
 _property("safety", "NOT " + _some("s = 'error' AND value > 190"), lambda: sequences.safety(_s("error") & (F.col("value") > 190)))
 _property("liveness", _some("s = 'signup'"), lambda: sequences.eventually(_s("signup")))
-_property("response", "NOT EXISTS (SELECT 1 FROM e p WHERE p.user_id = u.user_id AND p.s = 'error' AND NOT EXISTS (SELECT 1 FROM e q WHERE q.user_id = p.user_id AND q.i >= p.i AND q.s IN ('view', 'click')))", lambda: sequences.response(_s("error"), _s("view", "click"), _AT))
-_property("persistence", _some("i = n AND s <> 'error'"), lambda: sequences.persistence(~_s("error"), _AT))
+_property("response", "NOT EXISTS (SELECT 1 FROM e p WHERE p.user_id = u.user_id AND p.s = 'error' AND NOT EXISTS (SELECT 1 FROM e q WHERE q.user_id = p.user_id AND q.i >= p.i AND q.s IN ('view', 'click')))", lambda: sequences.response(_s("error"), _s("view", "click"), _AT()))
+_property("persistence", _some("i = n AND s <> 'error'"), lambda: sequences.persistence(~_s("error"), _AT()))
 _property("recurrence", "(SELECT count(DISTINCT CASE WHEN s <> 'error' THEN CAST(ts AS DATE) END) = max(CAST(ts AS DATE)) - min(CAST(ts AS DATE)) + 1 FROM e WHERE e.user_id = u.user_id)", lambda: sequences.recurrence(~_s("error"), F.unix_date(F.to_date("ts"))))
 
 
 @T.query(f"WITH {_ROW} SELECT user_id, {_some('i = 2 AND s = ' + chr(39) + 'view' + chr(39))} AS holds FROM (SELECT DISTINCT user_id FROM e) u")
 def ctl_next(t):
-    return sequences.beside(t("events"), "user_id", _s("view"), _AT)
+    return sequences.beside(t("events"), "user_id", _s("view"), _AT())
 
 
 @T.query(f"WITH {_ROW} SELECT user_id, {_some('i = n - 1 AND s = ' + chr(39) + 'view' + chr(39))} AS holds FROM (SELECT DISTINCT user_id FROM e) u")
 def ctl_previously(t):
-    return sequences.beside(t("events"), "user_id", _s("view"), _AT, back=True)
+    return sequences.beside(t("events"), "user_id", _s("view"), _AT(), back=True)
 
 
 #: Events with faults: nulls, repeated ids, values out of range.
@@ -93,30 +93,29 @@ _BROKEN = f"""{CUST_HIST_SQL}, broken AS (SELECT c_custkey, c_name, c_mktsegment
  is_current OR c_custkey % 15 = 3 AS is_current, CASE WHEN c_custkey % 5 = 0 THEN 'x' ELSE md5(c_name || '|' || c_mktsegment) END AS sum FROM cust_hist WHERE c_custkey % 6 <> 0 OR c_mktsegment <> 'MOVED')"""
 
 
-def _rule(name, table, rule, sql):
-    r = rule()
+def _rule(name, table, severity, detail, rule, sql):
     base, make = (_DIRTY, _dirty) if table == "dirty" else (_BROKEN, _broken)
-    row = f"SELECT '{r.name}' AS rule, '{r.severity}' AS severity, CAST(n AS BIGINT) AS violations, '{r.detail}' AS detail FROM ({sql}) WHERE n > 0"
+    row = f"SELECT '{name.upper()}' AS rule, '{severity}' AS severity, CAST(n AS BIGINT) AS violations, '{detail}' AS detail FROM ({sql}) WHERE n > 0"
     T.query(f"WITH {base} {row}", name=f"rule_{name}")(lambda t: contracts.report(make(t), [rule()]))
     return row, rule
 
 
 _D = [
-    _rule("not_null", "dirty", lambda: contracts.not_null("user_id"), "SELECT count(*) AS n FROM dirty WHERE user_id IS NULL"),
-    _rule("no_duplicates", "dirty", lambda: contracts.no_duplicates("id"), "SELECT count(*) - count(DISTINCT id) AS n FROM dirty"),
-    _rule("null_rate", "dirty", lambda: contracts.null_rate("user_id", 0.1), "SELECT count(*) - count(user_id) AS n FROM dirty HAVING count(user_id) < 0.9 * count(*)"),
-    _rule("row_count", "dirty", lambda: contracts.row_count(100_000_000), "SELECT count(*) AS n FROM dirty"),
-    _rule("value_range", "dirty", lambda: contracts.value_range("value", 10, 200), "SELECT count(*) AS n FROM dirty WHERE NOT value BETWEEN 10 AND 200"),
-    _rule("regex_match", "dirty", lambda: contracts.regex_match("event_type", "^[c-p]"), "SELECT count(*) AS n FROM dirty WHERE event_type < 'c' OR event_type >= 'q'"),
-    _rule("freshness", "dirty", lambda: contracts.freshness("ts", 24, "2024-03-01"), "SELECT 1 AS n FROM dirty HAVING max(ts) < TIMESTAMP '2024-02-29'"),
-    _rule("row_count_delta", "dirty", lambda: contracts.row_count_delta(10, 0.5), "SELECT count(*) - 10 AS n FROM dirty"),
+    _rule("not_null", "dirty", "error", "column=user_id", lambda: contracts.not_null("user_id"), "SELECT count(*) AS n FROM dirty WHERE user_id IS NULL"),
+    _rule("no_duplicates", "dirty", "error", "column=id", lambda: contracts.no_duplicates("id"), "SELECT count(*) - count(DISTINCT id) AS n FROM dirty"),
+    _rule("null_rate", "dirty", "warning", "column=user_id, max_pct=0.1", lambda: contracts.null_rate("user_id", 0.1), "SELECT count(*) - count(user_id) AS n FROM dirty HAVING count(user_id) < 0.9 * count(*)"),
+    _rule("row_count", "dirty", "error", "min=100000000, max=None", lambda: contracts.row_count(100_000_000), "SELECT count(*) AS n FROM dirty"),
+    _rule("value_range", "dirty", "error", "column=value, min=10, max=200", lambda: contracts.value_range("value", 10, 200), "SELECT count(*) AS n FROM dirty WHERE NOT value BETWEEN 10 AND 200"),
+    _rule("regex_match", "dirty", "warning", "column=event_type, pattern=^[c-p]", lambda: contracts.regex_match("event_type", "^[c-p]"), "SELECT count(*) AS n FROM dirty WHERE event_type < 'c' OR event_type >= 'q'"),
+    _rule("freshness", "dirty", "warning", "column=ts, hours=24", lambda: contracts.freshness("ts", 24, "2024-03-01"), "SELECT 1 AS n FROM dirty HAVING max(ts) < TIMESTAMP '2024-02-29'"),
+    _rule("row_count_delta", "dirty", "warning", "previous=10, max_pct=0.5", lambda: contracts.row_count_delta(10, 0.5), "SELECT count(*) - 10 AS n FROM dirty"),
 ]
-_rule("scd2_invariants", "broken", lambda: contracts.scd2_invariants("c_custkey"), """SELECT (SELECT coalesce(sum(c - 1), 0) FROM (SELECT count(*) AS c FROM broken WHERE is_current GROUP BY c_custkey))
+_rule("scd2_invariants", "broken", "error", "key=c_custkey", lambda: contracts.scd2_invariants("c_custkey"), """SELECT (SELECT coalesce(sum(c - 1), 0) FROM (SELECT count(*) AS c FROM broken WHERE is_current GROUP BY c_custkey))
  + (SELECT count(*) FROM broken WHERE is_current AND valid_to IS NOT NULL) + (SELECT count(*) FROM broken WHERE is_current AND valid_from IS NULL) + (SELECT count(*) FROM broken WHERE NOT is_current AND (valid_to IS NULL OR valid_from >= valid_to)) AS n""")
-_rule("no_orphan_versions", "broken", lambda: contracts.no_orphan_versions("c_custkey"), "SELECT count(DISTINCT c_custkey) AS n FROM broken WHERE c_custkey NOT IN (SELECT c_custkey FROM broken WHERE is_current)")
-_rule("monotonic_valid_from", "broken", lambda: contracts.monotonic_valid_from("c_custkey"), "SELECT count(DISTINCT h.c_custkey) AS n FROM broken h JOIN broken c ON h.c_custkey = c.c_custkey WHERE c.is_current AND NOT h.is_current AND h.valid_from > c.valid_from")
-_rule("no_gap_periods", "broken", lambda: contracts.no_gap_periods("c_custkey"), "SELECT count(*) AS n FROM (SELECT valid_to, lead(valid_from) OVER (PARTITION BY c_custkey ORDER BY valid_from) AS f FROM broken) WHERE valid_to <> f")
-_rule("hash_consistency", "broken", lambda: contracts.hash_consistency("sum", ["c_name", "c_mktsegment"]), "SELECT count(*) AS n FROM broken WHERE sum = 'x'")
+_rule("no_orphan_versions", "broken", "error", "key=c_custkey", lambda: contracts.no_orphan_versions("c_custkey"), "SELECT count(DISTINCT c_custkey) AS n FROM broken WHERE c_custkey NOT IN (SELECT c_custkey FROM broken WHERE is_current)")
+_rule("monotonic_valid_from", "broken", "error", "key=c_custkey", lambda: contracts.monotonic_valid_from("c_custkey"), "SELECT count(DISTINCT h.c_custkey) AS n FROM broken h JOIN broken c ON h.c_custkey = c.c_custkey WHERE c.is_current AND NOT h.is_current AND h.valid_from > c.valid_from")
+_rule("no_gap_periods", "broken", "warning", "key=c_custkey", lambda: contracts.no_gap_periods("c_custkey"), "SELECT count(*) AS n FROM (SELECT valid_to, lead(valid_from) OVER (PARTITION BY c_custkey ORDER BY valid_from) AS f FROM broken) WHERE valid_to <> f")
+_rule("hash_consistency", "broken", "warning", "column=sum", lambda: contracts.hash_consistency("sum", ["c_name", "c_mktsegment"]), "SELECT count(*) AS n FROM broken WHERE sum = 'x'")
 
 
 @T.query(f"WITH {_DIRTY} " + " UNION ALL ".join(f"({r})" for r, _ in _D))
