@@ -10,8 +10,16 @@ Windows start at every STRIDE-th word of a document; items are also indexed from
 their first STRIDE words on, so that each occurrence meets a window it is aligned
 with.  The walk over the first 2m words takes the steps of the walk over the first
 m, so that one walk serves windows of all item size classes.  Windows whose key
-meets an item's key are candidates; each is verified by the exact word edit distance
-between the whole item and the best-fitting stretch of the document around it.
+meets an item's key are candidates.
+
+Walks cover an item's first words only and lose occurrences at random, so exact seeds
+along the whole item complete them: k edits leave at most k + 1 unedited runs of the
+item's n words, so some run has at least (n - k) / (k + 1) words.  All runs of so many
+words of an item (at most SEED) are looked up at every word of a document, and no
+occurrence within the limit is missed, whatever its edits and the item's length.
+
+Each candidate is verified by the exact word edit distance between the whole item and
+the best-fitting stretch of the document around it.
 
 Items are taken in blocks of ``block`` rows, so the index that goes to the workers
 has a fixed largest size for any benchmark.
@@ -25,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import like, lower_words, small_batches, steps, text_column
+from .common import gram_hashes, like, lower_words, small_batches, steps, text_column
 
 STRIDE, WALKS, SAMPLES, DRAWN = 4, 3, 6, 5
 #: Words that a size class's walk covers at least; its walk has twice as many steps.
 CLASSES = (4, 8, 16, 32)
 SIEVE_BITS = 22
+#: Words that an exact seed has at most.
+SEED = 8
 _rng = np.random.default_rng(424242)
 _step_salt = _rng.integers(0, 2**63, (WALKS, 2 * CLASSES[-1]), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: For each class, walk and sample the steps that its key takes.
@@ -69,10 +79,34 @@ def size_class(n: int) -> int:
     return max([c for c in CLASSES if c <= n - STRIDE + 1], default=CLASSES[0])
 
 
+def seed_size(n: int, most: int) -> int:
+    """Words of the exact run that any occurrence of an item of n words with at most so many edits holds (SEED at most)."""
+    return min(SEED, max(1, -(-(n - most) // (most + 1))))
+
+
+class Keys:
+    """Keys, sorted, behind a bit sieve; each has an owner."""
+
+    def __init__(self, found: list[np.ndarray], owner: list[np.ndarray]):
+        self.keys = np.concatenate(found) if found else np.empty(0, np.uint64)
+        self.owner = np.concatenate(owner) if owner else np.empty(0, np.int64)
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.owner = self.keys[order], self.owner[order]
+        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
+        self.sieve[self.keys >> np.uint64(64 - SIEVE_BITS)] = True
+
+    def owners(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in h whose key is known, and an owner for each (once for every owner)."""
+        hit = np.flatnonzero(self.sieve[h >> np.uint64(64 - SIEVE_BITS)])
+        lo, hi = (np.searchsorted(self.keys, h[hit], side) for side in ("left", "right"))
+        many = hi - lo
+        return np.repeat(hit, many), self.owner[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+
+
 class ItemIndex:
-    """Keys of a block of items, sorted, behind a bit sieve."""
+    """Keys and exact seeds of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], max_edit_percent: int = 20):
         col = pa.array([t or "" for _, t in items], pa.string())
         self.ids = [i for i, _ in items]
         self.words: list[np.ndarray] = []
@@ -87,23 +121,26 @@ class ItemIndex:
                 for _, _, h in keys(np.append(w, np.uint64(0)), starts, (size_class(len(w)),)):
                     found.append(h)
                     owner.append(starts * len(self.words) + n)
-        self.keys = np.concatenate(found) if found else np.empty(0, np.uint64)
-        self.owner = np.concatenate(owner) if owner else np.empty(0, np.int64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.owner = self.keys[order], self.owner[order]
-        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
-        self.sieve[self.keys >> np.uint64(64 - SIEVE_BITS)] = True
+        self.walks = Keys(found, owner)
+        self.most = [len(w) * max_edit_percent // 100 for w in self.words]
+        seeds: dict[int, tuple[list, list]] = {}
+        for n, w in enumerate(self.words):
+            if len(w):
+                size = seed_size(len(w), self.most[n])
+                found, owner = seeds.setdefault(size, ([], []))
+                found.append(gram_hashes(w, size))
+                owner.append(np.arange(len(found[-1])) * len(self.words) + n)
+        self.seeds = {size: Keys(*x) for size, x in seeds.items()}
 
     def candidates(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Distinct rows (window start, item, offset in the item)."""
+        """Distinct rows (place in the words, item, offset in the item)."""
         out, n = [], max(1, len(self.words))
         for _, _, h in keys(words, starts, self.classes):
-            hit = np.flatnonzero(self.sieve[h >> np.uint64(64 - SIEVE_BITS)])
-            if len(hit):
-                lo, hi = (np.searchsorted(self.keys, h[hit], side) for side in ("left", "right"))
-                many = hi - lo
-                own = self.owner[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-                out.append(np.stack([np.repeat(starts[hit], many), own % n, own // n], 1))
+            hit, own = self.walks.owners(h)
+            out.append(np.stack([starts[hit], own % n, own // n], 1))
+        for size, known in self.seeds.items():
+            hit, own = known.owners(gram_hashes(words, size))
+            out.append(np.stack([hit, own % n, own // n], 1))
         return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64)
 
 
@@ -120,9 +157,35 @@ def best_fit(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def nearest(ix: ItemIndex, words: np.ndarray, rows: np.ndarray) -> dict[tuple[int, int], int]:
+    """(row, item) -> edits of the item's best occurrence in the row, if near enough."""
+    best: dict[tuple[int, int], int] = {}
+    if not len(words):
+        return best
+    counts = np.diff(rows)
+    per = -(-counts // STRIDE)
+    nth = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    starts = np.repeat(rows[:-1], per) + nth * STRIDE
+    done: set[tuple[int, int, int]] = set()
+    cand = ix.candidates(words, starts)
+    doc = np.searchsorted(rows, cand[:, 0], "right") - 1
+    for (s, item, o), d in zip(cand.tolist(), doc.tolist(), strict=True):
+        w, most = ix.words[item], ix.most[item]
+        if best.get((d, item), 1 << 30) == 0 or (d, item, s - o) in done:
+            continue
+        done.add((d, item, s - o))
+        a, b = max(int(rows[d]), s - o - most), min(int(rows[d + 1]), s - o + len(w) + 2 * most)
+        if b - a < len(w) - most or np.isin(words[a:b], w).sum() < len(w) - most:
+            continue
+        edits, _ = best_fit(w, words[a:b])
+        if edits <= most:
+            best[d, item] = min(edits, best.get((d, item), 1 << 30))
+    return best
+
+
 def occurrences(docs: DataFrame, items: list[tuple[int, str]], max_edit_percent: int, key: str) -> DataFrame:
     """key, item_id, edits: the best occurrence of each item of one block in each document, if near enough."""
-    index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items))
+    index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, max_edit_percent))
     kind = docs.schema[key].dataType
 
     def run(batches):
@@ -130,32 +193,10 @@ def occurrences(docs: DataFrame, items: list[tuple[int, str]], max_edit_percent:
         for batch in batches:
             for i, j, raw, off in steps(text_column(batch)):
                 rows_out, items_out, edits_out = [], [], []
-                words, rows = lower_words(raw, off)
-                if len(words):
-                    counts = np.diff(rows)
-                    per = -(-counts // STRIDE)
-                    nth = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-                    starts = np.repeat(rows[:-1], per) + nth * STRIDE
-                    best: dict[tuple[int, int], int] = {}
-                    done: set[tuple[int, int]] = set()
-                    cand = ix.candidates(words, starts)
-                    doc = np.searchsorted(rows, cand[:, 0], "right") - 1
-                    for (s, item, o), d in zip(cand.tolist(), doc.tolist(), strict=True):
-                        w = ix.words[item]
-                        most = len(w) * max_edit_percent // 100
-                        if best.get((d, item), 1 << 30) == 0 or (item, s - o) in done:
-                            continue
-                        done.add((item, s - o))
-                        a, b = max(int(rows[d]), s - o - most), min(int(rows[d + 1]), s - o + len(w) + 2 * most)
-                        if b - a < len(w) - most:
-                            continue
-                        edits, _ = best_fit(w, words[a:b])
-                        if edits <= most:
-                            best[d, item] = min(edits, best.get((d, item), 1 << 30))
-                    for (d, item), edits in sorted(best.items()):
-                        rows_out.append(d)
-                        items_out.append(ix.ids[item])
-                        edits_out.append(edits)
+                for (d, item), edits in sorted(nearest(ix, *lower_words(raw, off)).items()):
+                    rows_out.append(d)
+                    items_out.append(ix.ids[item])
+                    edits_out.append(edits)
                 ids = like(batch.slice(i, j - i), key).take(pa.array(rows_out, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(items_out, pa.int64()), pa.array(edits_out, pa.int64())], [key, "item_id", "edits"])
 
@@ -166,8 +207,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edit_percent: int =
     """key, item_id, edits (exact edit distance in words) for each document row that holds a benchmark item.
 
     An item occurs where a stretch of the document is within ``max_edit_percent`` per
-    cent of the item's words of it; the search meets an occurrence with high
-    probability (certainly without edits).  Null, empty and wordless texts and items
+    cent (under 100) of the item's words of it; the search misses none.  Null, empty and wordless texts and items
     match nothing; items with a null id are left out; repeated rows give repeated
     results (repeated items: one row each).  Empty tables give an empty result.
     """

@@ -239,6 +239,28 @@ def test_decontamination(spark, docs, nothing):
     assert decontam.contaminated(nothing, bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def edited(words, edits):
+    """The words after so many random substitutions, insertions and deletions."""
+    out = list(words)
+    for _ in range(edits):
+        at, what = RND.randrange(len(out)), RND.randint(0, 2)
+        out[at : at + (what != 1)] = [RND.getrandbits(60)] if what < 2 else []
+    return out
+
+
+@pytest.mark.parametrize("size", [15, 20, 30, 60, 100, 200])
+def test_decontamination_misses_no_edited_occurrence(size):
+    """All occurrences with edits up to the limit, at any place of the item, with the edits that brute force finds."""
+    fresh = lambda n: [RND.getrandbits(60) for _ in range(n)]
+    ix = decontam.ItemIndex([(i, prose(size)) for i in range(60)])
+    ix_words = [w.tolist() for w in ix.words]
+    texts = [fresh(RND.randint(0, 30)) + edited(w, size // 5) + fresh(RND.randint(0, 30)) for w in ix_words]
+    rows = np.cumsum([0, *map(len, texts)])
+    got = decontam.nearest(ix, np.array(sum(texts, []), np.uint64), rows)
+    for n, text in enumerate(texts):
+        assert got[n, n] == decontam.best_fit(ix.words[n], np.array(text, np.uint64))[0]
+
+
 def test_best_fit_is_the_edit_distance():
     def slow(a, b):
         row = [0] * (len(b) + 1)
