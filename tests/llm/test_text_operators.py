@@ -261,6 +261,15 @@ def test_decontamination_misses_no_edited_occurrence(size):
         assert got[n, n] == decontam.best_fit(ix.words[n], np.array(text, np.uint64))[0]
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 6, 7, 10])
+def test_decontamination_finds_copies_of_short_items(size):
+    fresh = lambda n: [RND.getrandbits(60) for _ in range(n)]
+    ix = decontam.ItemIndex([(i, " ".join(map(str, fresh(size)))) for i in range(100)])
+    texts = [fresh(9) + w.tolist() + fresh(1 + n % 4) for n, w in enumerate(ix.words)]
+    got = decontam.nearest(ix, np.array(sum(texts, []), np.uint64), np.cumsum([0, *map(len, texts)]))
+    assert got == {(n, n): 0 for n in range(100)}
+
+
 def test_best_fit_is_the_edit_distance():
     def slow(a, b):
         row = [0] * (len(b) + 1)
