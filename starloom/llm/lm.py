@@ -1,18 +1,21 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-Counts of words and word pairs come from whole training texts.  An n-gram goes into
-the model if its count reaches ``FLOOR`` times the number of training tokens, at any
-size of input: at most 1 / FLOOR n-grams of an order can, so what is broadcast has a
-fixed largest size.  A count c is held as its level 1 + floor(log_STEP(c / least));
-the filter has an entry for (n-gram, 1) ... (n-gram, level), and probing upwards until
-the first miss gives the level back.  At most (1 / FLOOR) / (1 - 1 / STEP) entries of
-an order exist.
+Counts of words and word pairs come from whole training texts, and all of them go into
+the model: its size grows with the input.  A count c is held as its level
+1 + floor(log_STEP(c)); the filter has an entry for (n-gram, 1) ... (n-gram, level), and
+probing upwards until the first miss gives the level back.
+
+The filter is split by the n-gram's hash into as many blocks as a shuffle has partitions.
+Tasks build the blocks where the counts are aggregated, and the driver broadcasts them
+in groups of at most ``GROUP`` bytes; with several groups a task scores ``GATHER`` bytes
+of texts at a time against one group after another, so that no worker holds more than one
+group of each order.
 
 score: sum of log10 P(w | v), with P = LAMBDA * count(v w) / count(v) + (1 - LAMBDA) * P(w)
-from the held counts; words that the filter lacks share the rest of the mass.
+from the held counts; a word that the filter lacks counts as half an occurrence.
 
-base_score needs exact counts of all words.  Frequent words (those of the model) are
-looked up in a broadcast table; the others, of which no word is frequent, are joined
+base_score needs exact counts of all words.  Frequent words (``FLOOR`` times the training
+tokens or more, at most 1 / FLOOR) are looked up in a broadcast table; the others, of which no word is frequent, are joined
 with the table of all counts by the word's hash, so no join key is hot.
 
 Words are known by 64-bit hashes.  Defined results: null text is empty and scores its
@@ -32,6 +35,7 @@ from pyspark.sql import types as T
 from .common import crc_mod, like, lower_words, mix, row_ids, shared_path, small_batches, steps, text_column
 
 FLOOR, STEP, LAMBDA, PROBES, BITS = 5e-7, 1.5, 0.7, 6, 12
+GROUP, GATHER = 32 << 20, 2 << 20
 _rng = np.random.default_rng(909)
 END, BEGIN, PAIR = (np.uint64(x) for x in _rng.integers(1, 2**63, 3, dtype=np.uint64))
 
@@ -50,19 +54,6 @@ def pair_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix((before ^ PAIR) * np.uint64(0x9E3779B97F4A7C15) + words)
 
 
-class Sieve:
-    """Which hashes are among the given ones, with few false answers."""
-
-    def __init__(self, keys: np.ndarray, bits: int = 25):
-        self.shift, self.table = np.uint64(64 - bits), np.zeros(1 << (bits - 3), np.uint8)
-        at = keys >> self.shift
-        np.bitwise_or.at(self.table, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = keys >> self.shift
-        return (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
 class LogBloom:
     """(key, level) entries in one bit array."""
 
@@ -84,21 +75,136 @@ class LogBloom:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The middle of the level each key reaches (0 if none)."""
-        level = np.zeros(len(keys), np.int64)
-        live = np.arange(len(keys))
-        for j in range(1, self.top + 1):
-            for i in range(PROBES):
-                if not len(live):
-                    break
-                h = mix(keys[live] + np.uint64(j * 0x632BE59BD9B4E019 % 2**64))
-                at = (h + np.uint64(i) * ((h >> np.uint64(33)) | np.uint64(1))) % self.bits
-                live = live[(self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
-            level[live] = j
-        return np.where(level > 0, self.least * STEP ** (level - 0.5), 0.0)
+        return middle(reached(self.table, keys, np.full(len(keys), self.bits), np.zeros(len(keys), np.uint64), self.top), self.least)
 
 
-def _counted(docs: DataFrame, pairs_among=None) -> DataFrame:
-    """(h, c): counts of all tokens, or of the pairs whose both tokens are in a broadcast sieve."""
+def reached(table: np.ndarray, keys: np.ndarray, bits: np.ndarray, first: np.ndarray, top: int) -> np.ndarray:
+    """The level that each key reaches in its own run of bits, which begins at bit ``first`` of the table."""
+    level = np.zeros(len(keys), np.int64)
+    live = np.flatnonzero(bits)
+    for j in range(1, top + 1):
+        if not len(live):
+            break
+        h, b, f = mix(keys[live] + np.uint64(j * 0x632BE59BD9B4E019 % 2**64)), bits[live], first[live]
+        step = (h >> np.uint64(33)) | np.uint64(1)
+        for _ in range(PROBES):
+            at = f + h % b
+            hit = (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            live, h, step, b, f = live[hit], h[hit] + step[hit], step[hit], b[hit], f[hit]
+        level[live] = j
+    return level
+
+
+def middle(level: np.ndarray, least: float = 1.0) -> np.ndarray:
+    return np.where(level > 0, least * STEP ** (level - 0.5), 0.0)
+
+
+def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """The partition, of so many, into which Spark's shuffle deals each key as a bigint."""
+    h = np.full(len(keys), 42, np.uint32)
+    for shift in (0, 32):
+        k = (keys >> np.uint64(shift)).astype(np.uint32) * np.uint32(0xCC9E2D51)
+        h ^= ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % blocks
+
+
+class Group:
+    """The blocks from ``low`` up to ``high``, in layers; a block built by several tasks has a part in several layers."""
+
+    def __init__(self, low: int, high: int, parts: list[tuple[int, int, int, bytes]]):
+        self.low, self.layers, place = low, [], 0
+        self.top = max((top for _, top, _, _ in parts), default=0)
+        seen: dict[int, int] = {}
+        for b, _, bits, table in parts:
+            layer = seen[b] = seen.get(b, -1) + 1
+            if layer == len(self.layers):
+                self.layers.append((np.zeros(high - low, np.uint64), np.zeros(high - low, np.uint64)))
+            self.layers[layer][0][b - low], self.layers[layer][1][b - low] = bits, place * 8
+            place += len(table)
+        self.table = np.empty(place, np.uint8)
+        place = 0
+        for _, _, _, table in parts:
+            self.table[place : place + len(table)] = np.frombuffer(table, np.uint8)
+            place += len(table)
+
+    def levels(self, keys: np.ndarray, block: np.ndarray) -> np.ndarray:
+        level = np.zeros(len(keys), np.int64)
+        for bits, first in self.layers:
+            level = np.maximum(level, reached(self.table, keys, bits[block - self.low], first[block - self.low], self.top))
+        return level
+
+
+class Held:
+    """A log-frequency filter of all counts (h, c), which are dealt by the hash of h, in broadcast groups of blocks."""
+
+    def __init__(self, counted: DataFrame):
+        spark = counted.sparkSession
+        blocks = self.blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+        def build(batches):
+            got = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
+            if got:
+                h, c = (np.concatenate(x) for x in zip(*got, strict=True))
+                block = block_of(h, blocks)
+                order = np.argsort(block, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                    if len(own):
+                        part = LogBloom(h[own], c[own], 1.0)
+                        yield pa.RecordBatch.from_pydict({"b": pa.array([block[own[0]]], pa.int64()), "top": pa.array([part.top], pa.int64()), "bits": pa.array([int(part.bits)], pa.int64()), "bytes": pa.array([len(part.table)], pa.int64()), "held": pa.array([part.table.tobytes()], pa.binary())})
+
+        path, schema = shared_path(spark, "lm-filter"), "b bigint, top bigint, bits bigint, bytes bigint, held binary"
+        counted.select("h", "c").mapInArrow(build, schema).write.parquet(path)
+        parts = spark.read.schema(schema).parquet(path)
+        self.groups, low, size = [], 0, 0
+        bounds = []
+        for b, n in sorted((r.b, r.n) for r in parts.groupBy("b").agg(F.sum("bytes").alias("n")).collect()):
+            if size and size + n > GROUP:
+                bounds.append((low, b))
+                low, size = b, 0
+            size += n
+        for low, high in [*bounds, (low, blocks)]:
+            t = parts.filter((F.col("b") >= low) & (F.col("b") < high)).select("b", "top", "bits", "held").toArrow()
+            rows = list(zip(*(t.column(i).to_pylist() for i in range(4)), strict=True))
+            self.groups.append((low, high, spark.sparkContext.broadcast(Group(low, high, rows))))
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """The middle of the level each key reaches (0 if none)."""
+        block, level = block_of(keys, self.blocks), np.zeros(len(keys), np.int64)
+        for low, high, group in self.groups:
+            own = np.flatnonzero((block >= low) & (block < high))
+            if len(own):
+                level[own] = group.value.levels(keys[own], block[own])
+                if len(self.groups) > 1:
+                    group.__dict__.pop("_value", None)  # the next group takes its place
+        return middle(level)
+
+
+def gathered(batches, least: int):
+    """Batches put together until they have at least so many bytes."""
+    kept, size = [], 0
+    for batch in batches:
+        kept.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield kept[0] if len(kept) == 1 else pa.concat_batches(kept)
+            kept, size = [], 0
+    if kept:
+        yield pa.concat_batches(kept)
+
+
+def all_tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """tokens_of for a whole batch, cut up step by step."""
+    got = [tokens_of(raw, off) for _, _, raw, off in steps(text_column(batch))]
+    sizes = np.cumsum([0, *(len(words) for words, _, _ in got)])
+    return (*(np.concatenate([x[k] for x in got]) for k in range(2)), np.concatenate([np.zeros(1, np.int64), *(x[2][1:] + n for x, n in zip(got, sizes[:-1], strict=True))]))
+
+
+def _counted(docs: DataFrame, pairs: bool = False) -> DataFrame:
+    """(h, c): counts of all tokens, or of all pairs."""
 
     def run(batches):
         kept: list[np.ndarray] = []
@@ -112,10 +218,8 @@ def _counted(docs: DataFrame, pairs_among=None) -> DataFrame:
         for batch in batches:
             for _, _, raw, off in steps(text_column(batch)):
                 words, before, _ = tokens_of(raw, off)
-                if pairs_among is not None:
-                    sieve = pairs_among.value
-                    known = sieve(words)
-                    words = pair_hashes(before, words)[known & (sieve(before) | (before == BEGIN))]
+                if pairs:
+                    words = pair_hashes(before, words)
                 if len(words):
                     kept.append(words)
                     size += len(words)
@@ -135,13 +239,11 @@ def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, words, pairs, tokens: int, distinct: int):
-        (h, c), least = words, max(1.0, FLOOR * tokens)
+    def __init__(self, words, tokens: int, distinct: int):
+        h, c = words
         order = np.argsort(h)
         self.h, self.c = h[order], c[order]
         self.tokens, self.distinct = tokens, distinct
-        self.filter = LogBloom(np.concatenate([h, pairs[0]]), np.concatenate([c, pairs[1]]), least)
-        self.rest = max(0.5, float(tokens - c.sum())) / (max(tokens, 1) * (distinct - len(h) + 1.0))
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
@@ -153,23 +255,25 @@ class Model:
         at = np.minimum(np.searchsorted(self.h, words), len(self.h) - 1)
         return np.where(self.h[at] == words, self.c[at], -1)
 
-    def score(self, words: np.ndarray, before: np.ndarray, inverse: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    def score(self, single: Held, pairs: Held, words: np.ndarray, before: np.ndarray, inverse: np.ndarray, distinct: np.ndarray) -> np.ndarray:
         """log10 P of each token; ``distinct`` and ``inverse`` are np.unique of the words."""
-        one = self.filter.counts(distinct)
-        single = np.where(one > 0, one / max(self.tokens, 1), self.rest)[inverse]
+        known = single.counts(np.append(distinct, END))
+        one, end = known[:-1], known[-1]
+        alone = (np.where(one > 0, one, 0.5) / max(self.tokens, 1))[inverse]
         at = np.minimum(np.searchsorted(distinct, before), len(distinct) - 1)
         context = np.where(distinct[at] == before, one[at], 0.0)
-        begin = before == BEGIN
-        context[begin] = self.filter.counts(np.array([END]))[0]  # a text begins as often as it ends
+        context[before == BEGIN] = end  # a text begins as often as it ends
         pair = np.zeros(len(words))
         live = np.flatnonzero((context > 0) & (one > 0)[inverse])
-        pair[live] = self.filter.counts(pair_hashes(before[live], words[live]))
+        if len(live):
+            different, back = np.unique(pair_hashes(before[live], words[live]), return_inverse=True)
+            pair[live] = pairs.counts(different)[back]
         share = np.minimum(pair / np.maximum(context, 1e-9), 1.0)
-        return np.log10(np.maximum(np.where(context > 0, LAMBDA * share + (1 - LAMBDA) * single, single), 1e-30))
+        return np.log10(np.maximum(np.where(context > 0, LAMBDA * share + (1 - LAMBDA) * alone, alone), 1e-30))
 
 
-def train(docs: DataFrame, key: str = "doc_id", folds: int = 10) -> tuple[Model, DataFrame]:
-    """The model, and the table (h, c) of all word counts in the shared folder."""
+def train(docs: DataFrame, key: str = "doc_id", folds: int = 10) -> tuple[Model, Held, Held, DataFrame]:
+    """The model, its filters of words and pairs, and the table (h, c) of all word counts in the shared folder."""
     spark = docs.sparkSession
     small_batches(spark)
     known = docs.filter(crc_mod(key, folds) > 0).select("text")
@@ -177,33 +281,31 @@ def train(docs: DataFrame, key: str = "doc_id", folds: int = 10) -> tuple[Model,
     _counted(known).write.parquet(path)
     counts = spark.read.schema("h bigint, c bigint").parquet(path)
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(1.0, FLOOR * tokens)
-    words = _columns(counts.filter(F.col("c") >= least))
-    sieve = spark.sparkContext.broadcast(Sieve(words[0]))
-    pairs = _columns(_counted(known, sieve).filter(F.col("c") >= least))
-    return Model(words, pairs, tokens, distinct), counts
+    words = _columns(counts.filter(F.col("c") >= max(1.0, FLOOR * tokens)))
+    return Model(words, tokens, distinct), Held(counts.repartition("h")), Held(_counted(known, pairs=True)), counts
 
 
 def lm_scores(docs: DataFrame, key: str = "doc_id", folds: int = 10) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
-    model, counts = train(docs, key, folds)
-    shared = spark.sparkContext.broadcast(model)  # fixed largest size, see above
+    model, single, pairs, counts = train(docs, key, folds)
+    shared = spark.sparkContext.broadcast(model)  # fixed largest size: frequent words
+    gather = GATHER if max(len(single.groups), len(pairs.groups)) > 1 else 0
 
     def run(batches):
         from pyspark import TaskContext
 
         m, row = shared.value, TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for i, j, raw, off in steps(text_column(batch)):
-                words, before, bounds = tokens_of(raw, off)
+        for part in gathered(batches, gather):
+            if part.num_rows:
+                words, before, bounds = all_tokens(part)
                 distinct, inverse = np.unique(words, return_inverse=True)
                 exact = m.exact(distinct)
                 base = np.where(exact >= 0, m.base(np.maximum(exact, 0)), 0.0)[inverse]
                 frequent = (exact >= 0)[inverse]
-                score = m.score(words, before, inverse, distinct)
+                score = m.score(single, pairs, words, before, inverse, distinct)
                 doc = row_ids(bounds)
-                n = j - i
+                n = part.num_rows
                 sums = [np.bincount(doc, v, n) for v in (base, score)]
                 # the other words, once a row, with how often each occurs
                 rest = np.flatnonzero(~frequent)
@@ -213,7 +315,6 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", folds: int = 10) -> DataFram
                 at = np.flatnonzero(new)
                 times = np.diff(np.append(at, len(order))).astype(np.int32)
                 lists = np.concatenate([[0], np.cumsum(np.bincount(d[at], minlength=n))]).astype(np.int32)
-                part = batch.slice(i, n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         like(part, key), pa.array(np.arange(row, row + n)), pa.array(np.diff(bounds).astype(np.int64)),

@@ -166,6 +166,36 @@ def test_lm(docs, rows, monkeypatch, nothing, floor):
     assert lm.lm_scores(nothing).count() == 0
 
 
+@pytest.mark.parametrize("group", [32 << 20, 2000])
+def test_lm_score_holds_all_n_grams(docs, rows, monkeypatch, group):
+    """Scores equal those of a plain quantised model of all words and pairs, whatever FLOOR is and however the filter is cut."""
+    monkeypatch.setattr(lm, "FLOOR", 3e-3)
+    monkeypatch.setattr(lm, "GROUP", group)
+    got = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
+    texts = [(i, (t or "").encode().lower().split() + [None]) for i, t, _ in rows]
+    known = [ws for i, ws in texts if zlib.crc32(str(i).encode()) % 10]
+    one = collections.Counter(w for ws in known for w in ws)
+    two = collections.Counter(x for ws in known for x in zip([False, *ws], ws))
+    n = sum(one.values())
+    one[False] = one[None]
+    level = lambda c: 1.5 ** (math.floor(math.log(c) / math.log(1.5) + 1e-9) + 0.5) if c else 0
+    off, total = [], 0
+    for i, ws in texts:
+        want = 0
+        for v, w in zip([False, *ws], ws):
+            alone, context = (level(one[w]) or 0.5) / n, level(one[v])
+            want += math.log10(0.7 * min(1, level(two[v, w]) / context) + 0.3 * alone if context else alone)
+        off.append(abs(got[i].score - want))
+        total += len(ws)
+    assert np.median(off) < 1e-6 and sum(off) < 0.01 * total
+
+
+def test_blocks_are_sparks_partitions(spark):
+    k = np.random.default_rng(8).integers(0, 2**64, 500, dtype=np.uint64)
+    df = spark.createDataFrame([(int(x),) for x in k.view(np.int64)], "h bigint")
+    assert [r.b for r in df.selectExpr("pmod(hash(h), 7) b").collect()] == lm.block_of(k, 7).tolist()
+
+
 def test_log_bloom_levels():
     rng = np.random.default_rng(3)
     k, c = rng.integers(1, 2**63, 5000, dtype=np.uint64), rng.integers(1, 10_000, 5000)
