@@ -6,18 +6,16 @@ at the ends.  Registers of a union are the element-wise maxima, and equal
 registers are the likelier the more two sets share.
 
 1. Every document gets its set size, a 128-bit fingerprint of the set, and registers.
-2. Documents with equal sets form a class, represented by its smallest id.
-3. Representatives that agree on a whole band of registers share a bucket.  Small
-   buckets give all their pairs; a large one pairs each member with two leaders, so
-   that no group is squared.  One component is all that a group of copies has to
-   become; members of a large bucket that are still outside its largest component
-   after that meet all the others in a second pass (see ``stragglers``), block by
-   block where they are many, and by finer buckets first where they are very many.
-4. A pair's Jaccard similarity is estimated from its register comparison counts and
-   set sizes by maximum likelihood; pairs far below the threshold go.
-5. The others are compared on their full sets.
-6. Components of the verified links come from alternating large-star and small-star
-   steps on DataFrames.
+2. Documents with equal sets form a class, which is one node from here on.
+3. Nodes that agree on a whole band of registers share a bucket.  Small buckets give
+   all their pairs; a pair's Jaccard similarity is estimated from its register
+   comparison counts and set sizes by maximum likelihood, pairs far below the
+   threshold go, and the others are compared on their full sets.
+4. In large buckets every member is compared with a leader on its full set, and what
+   that leaves open is found from the members' differences (see ``frames``): no pair
+   that shares a bucket is lost, and no group is squared.
+5. Components of the links come from alternating large-star and small-star steps on
+   DataFrames.
 """
 
 from __future__ import annotations
@@ -26,22 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import frames
 from .common import drop_path, gram_hashes, like, lower_words, mix, shared_path, small_batches, steps, text_column
 
 REGISTERS, BAND, BASE, RATE, TOP = 112, 4, 1.02, 20.0, 4094
 #: Buckets up to this size give all their pairs.
 SMALL_BUCKET = 24
-#: Members outside a large bucket's largest component that meet all its other components, and comparisons with the
-#: largest component, by member of the bucket, up to which any number of them meets that.
-STRAGGLERS, MEETINGS = 16, 256
-#: Members outside the largest component up to which a bucket's pairs are compared at once; others get finer buckets first.
-PLAIN = 20_000
-#: Each band is joined with so many following ones for finer buckets; a link of similarity 0.8 has none of these in
-#: common once in 7,000.
-NEIGHBOURS = 6
-#: Members outside the largest component that one block of the last, exact comparison takes.
-BLOCK = 1000
 #: Bits of the sieve of documents whose full sets are wanted.
 SIEVE_BITS = 26
 _seeds = np.random.default_rng(77).integers(1, 2**63, (2, REGISTERS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,11 +68,25 @@ def registers_of(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """key, n (set size), f1, f2 (fingerprint), p1, p2 (the registers' lowest bits), registers (binary), bands (array of hashes).
+def fingerprints(sets: list[np.ndarray], full: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Two sums of mixed elements for each set (0 for empty ones); ``full`` are the places of the others, joined in ``grams``."""
+    f = np.zeros((2, len(sets)), np.int64)
+    if len(full):
+        f[0, full] = np.add.reduceat(mix(grams), starts).view(np.int64)
+        f[1, full] = np.add.reduceat(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), starts).view(np.int64)
+    return f
 
-    The last two are null for the empty set.
-    """
+
+def joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, places of sets that aren't empty, all their elements, and where each begins."""
+    n = np.array([len(x) for x in sets], np.int64)
+    full = np.flatnonzero(n)
+    grams = np.concatenate([sets[x] for x in full]) if len(full) else np.empty(0, np.uint64)
+    return n, full, grams, (np.cumsum(n[full]) - n[full])
+
+
+def sketches(docs: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """key, n (set size), f1, f2 (fingerprint), p1, p2 (the registers' lowest bits), registers (binary, null for the empty set)."""
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
 
@@ -90,41 +94,29 @@ def sketches(docs: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             for i, j, raw, off in steps(text_column(batch)):
                 sets = list(shingle_sets(raw, off, k))
-                n = np.array([len(s) for s in sets], np.int64)
-                full = np.flatnonzero(n)
+                n, full, grams, starts = joined(sets)
                 f = np.zeros((4, j - i), np.int64)
-                regs, bands = [None] * (j - i), [None] * (j - i)
+                f[:2] = fingerprints(sets, full, grams, starts)
+                regs = [None] * (j - i)
                 if len(full):
-                    grams = np.concatenate([sets[x] for x in full])
-                    starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-                    f[0, full] = np.add.reduceat(mix(grams), starts).view(np.int64)
-                    f[1, full] = np.add.reduceat(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), starts).view(np.int64)
                     r = registers_of(grams, starts)
-                    b = gram_rows(r).view(np.int64)
                     low = np.zeros((len(full), 128), np.uint8)
                     low[:, :REGISTERS] = r & 1
                     f[2:, full] = np.packbits(low, axis=1).view(np.int64).T
-                    for at, row, keys in zip(full, r, b, strict=True):
-                        regs[at], bands[at] = row.tobytes(), keys
+                    for at, row in zip(full, r, strict=True):
+                        regs[at] = row.tobytes()
                 ids = like(batch.slice(i, j - i), key)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n), *(pa.array(x) for x in f), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], [key, "n", "f1", "f2", "p1", "p2", "registers", "bands"]
-                )
-
-    from pyspark.sql import types as T
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), *(pa.array(x) for x in f), pa.array(regs, pa.binary())], [key, "n", "f1", "f2", "p1", "p2", "registers"])
 
-    fields = [T.StructField(key, kind), *(T.StructField(c, T.LongType()) for c in ("n", "f1", "f2", "p1", "p2")), T.StructField("registers", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    fields = [T.StructField(key, kind), *(T.StructField(c, T.LongType()) for c in ("n", "f1", "f2", "p1", "p2")), T.StructField("registers", T.BinaryType())]
     return docs.select(key, "text").mapInArrow(run, T.StructType(fields))
 
 
-def gram_rows(registers: np.ndarray) -> np.ndarray:
-    """One hash for each band of each row; the band's number is part of it."""
-    n = REGISTERS // BAND
-    r = registers[:, : n * BAND].reshape(len(registers), n, BAND).astype(np.uint64)
-    h = np.broadcast_to(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), r.shape[:2]).copy()
-    for i in range(BAND):
-        h = mix(h ^ r[:, :, i])
-    return h
+def band_rows(nodes: DataFrame) -> DataFrame:
+    """bucket (hash of a band's number and registers), id, n, p1, p2: a row for every band of each node."""
+    band = F.explode(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1))).alias("band")
+    rows = nodes.select(band, "registers", "id", "n", "p1", "p2")
+    return rows.select(F.xxhash64("band", F.expr(f"substring(registers, band * {2 * BAND} + 1, {2 * BAND})")).alias("bucket"), "id", "n", "p1", "p2")
 
 
 def estimated_jaccard(more: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -171,14 +163,14 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(lambda it: _kept_pairs(it, fits), pairs.select("a", "b").schema)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int, key: str) -> DataFrame:
-    """key and the document's full set as binary, for the documents in ``ids`` (and a few others).
+def full_sets(docs: DataFrame, wanted: DataFrame, k: int, key: str) -> DataFrame:
+    """id and s (the full set as binary) of the nodes in ``wanted`` (id, rep, n, f1, f2).
 
     The texts stay where they are: a bit sieve of a fixed size (2 ** SIEVE_BITS, made of
-    at most 2 ** SIEVE_BITS / 64 rows) tells the documents that are wanted.
+    at most 2 ** SIEVE_BITS / 64 rows) tells the documents that may be wanted, by key.
     """
-    h = F.shiftrightunsigned(F.xxhash64(key), 64 - SIEVE_BITS)
-    words = ids.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    hashed = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - SIEVE_BITS)
+    words = wanted.select(hashed("rep").alias("h")).groupBy(F.shiftright("h", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
     sieve = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
     sieve[words.column(0).to_numpy()] = words.column(1).to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(sieve)
@@ -187,15 +179,18 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, key: str) -> DataFrame:
         bits = shared.value
         for batch in batches:
             at = like(batch, "_h").to_numpy(zero_copy_only=False)
-            wanted = pa.array((bits[at >> 6] >> (at & 63)) & 1 > 0)
-            batch = pa.RecordBatch.from_arrays([like(batch, c).filter(wanted) for c in (key, "text")], [key, "text"])
+            hit = pa.array((bits[at >> 6] >> (at & 63)) & 1 > 0)
+            batch = pa.RecordBatch.from_arrays([like(batch, c).filter(hit) for c in (key, "text")], [key, "text"])
             for i, j, raw, off in steps(text_column(batch)):
-                yield pa.RecordBatch.from_arrays([like(batch.slice(i, j - i), key), pa.array([s.tobytes() for s in shingle_sets(raw, off, k)], pa.binary())], [key, "s"])
-
-    from pyspark.sql import types as T
+                sets = list(shingle_sets(raw, off, k))
+                n, full, grams, starts = joined(sets)
+                f = fingerprints(sets, full, grams, starts)
+                yield pa.RecordBatch.from_arrays([like(batch.slice(i, j - i), key), pa.array(n), pa.array(f[0]), pa.array(f[1]), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "n", "f1", "f2", "s"])
 
-    known = docs.filter(F.col(key).isNotNull()).select(key, "text", h.alias("_h"))
-    return known.mapInArrow(run, T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("s", T.BinaryType())]))
+    longs = [T.StructField(c, T.LongType()) for c in ("n", "f1", "f2")]
+    known = docs.filter(F.col(key).isNotNull()).select(key, "text", hashed(key).alias("_h"))
+    found = known.mapInArrow(run, T.StructType([T.StructField("rep", docs.schema[key].dataType), *longs, T.StructField("s", T.BinaryType())]))
+    return found.join(wanted.select("id", "rep", "n", "f1", "f2"), ["rep", "n", "f1", "f2"]).select("id", "s").dropDuplicates(["id"])
 
 
 def low_bits(percent: int) -> int:
@@ -210,167 +205,112 @@ def alike(percent: int):
 
 
 def bucket_pairs(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs a < b from rows (bucket, id, n, p1, p2), and (bucket, id) of the rows of large buckets.
-
-    A bucket of up to SMALL_BUCKET members gives all its pairs, a larger one pairs
-    each member with two leaders; of all these, those that may be alike.
-    """
-    me = F.struct("id", "n", "p1", "p2")
-    sums = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(me).alias("l0"), F.min(F.struct(F.xxhash64("id").alias("h"), me.alias("m")))["m"].alias("l1")).filter("size > 1")
-    joined = rows.join(sums, "bucket")
-    small = joined.filter(F.col("size") <= SMALL_BUCKET).select("bucket", "id", "n", "p1", "p2")
+    """Pairs a < b that may be alike in small buckets of rows (bucket, id, n, p1, p2), and (bucket, id, size) of large ones."""
+    sums = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    joined_ = rows.join(sums, "bucket")
+    small = joined_.filter(F.col("size") <= SMALL_BUCKET).select("bucket", "id", "n", "p1", "p2")
     other = small.select(F.col("bucket").alias("there"), F.col("id").alias("x"), F.col("n").alias("xn"), F.col("p1").alias("x1"), F.col("p2").alias("x2"))
     exact = small.join(other, [F.col("bucket") == F.col("there"), F.col("id") < F.col("x"), alike(percent)]).select(F.col("id").alias("a"), F.col("x").alias("b"))
-    large = joined.filter(F.col("size") > SMALL_BUCKET)
-    stars = large.select("id", "n", "p1", "p2", F.explode(F.array("l0", "l1")).alias("l")).select("id", "n", "p1", "p2", F.col("l.id").alias("x"), F.col("l.n").alias("xn"), F.col("l.p1").alias("x1"), F.col("l.p2").alias("x2"))
-    stars = stars.filter((F.col("id") != F.col("x")) & alike(percent))
-    return exact.union(stars.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))), large.select("bucket", "id")
+    return exact, joined_.filter(F.col("size") > SMALL_BUCKET).select("bucket", "id", "size")
 
 
-def stragglers(placed: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """What leaders may have missed, from rows (bucket, id, root) of large buckets and ``members`` (id, root, n, p1, p2).
+class Scratch:
+    """Intermediate tables in the shared folder; ``drop`` deletes them."""
 
-    Members outside a bucket's largest component meet the members of that component,
-    where this takes MEETINGS comparisons a member of the bucket at most, and where at
-    most STRAGGLERS are outside, those of all the bucket's other components; only pairs
-    that may be alike come out, once, however many buckets they share.  The rows of
-    buckets with more members outside come back second, for finer buckets.
-    """
-    by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    most = by_root.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top")).withColumn("out", F.col("size") - F.col("top.c")).filter("out > 0").select("bucket", "size", "out", F.col("top.root").alias("main"), (F.col("out") * F.col("top.c")).alias("work"))
-    few = most.filter(F.col("out") <= STRAGGLERS)
-    # up to STRAGGLERS + 1 components a bucket; each member's are put together before they become rows
-    there = by_root.join(few, "bucket").groupBy("bucket").agg(F.collect_set("root").alias("roots"))
-    main = most.filter(F.col("work") <= F.col("size") * MEETINGS).select("bucket", F.array("main").alias("roots"))
-    outside = placed.join(most.select("bucket", "main"), "bucket").filter("root <> main").select("bucket", "id", F.col("root").alias("own"))
-    met = outside.join(main.union(there), "bucket").groupBy("id", "own").agg(F.array_distinct(F.flatten(F.collect_list("roots"))).alias("roots"))
-    met = met.select("id", "own", F.explode("roots").alias("root")).filter("root <> own").select("id", "root")
-    x = met.join(members.drop("root"), "id").select(F.col("id").alias("x"), F.col("root").alias("there"), F.col("n").alias("xn"), F.col("p1").alias("x1"), F.col("p2").alias("x2"))
-    pairs = members.join(x, [F.col("root") == F.col("there"), alike(percent)])
-    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")), placed.join(most.filter(F.col("out") > STRAGGLERS).select("bucket", "out"), "bucket").select("bucket", "id", "root", "out")
-
-
-def blocks(placed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Every pair (a, b) of a bucket that may be alike and isn't yet in one component; rows as in ``stragglers``.
-
-    The members outside a bucket's largest component are dealt to blocks of about BLOCK,
-    which all its members visit, so that no task has more than BLOCK times the bucket's
-    size to compare; what can't be alike goes inside the join, and a pair comes out of
-    the smallest of its common buckets only.
-    """
-    # an id has at most a bucket a band (finer ones: NEIGHBOURS a band)
-    all_of = placed.groupBy("id").agg(F.collect_set("bucket").alias("mine"))
-    by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    sums = by_root.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top"))
-    sums = sums.select("bucket", F.col("top.root").alias("main"), F.ceil((F.col("size") - F.col("top.c")) / BLOCK).cast("int").alias("blocks")).filter("blocks > 0")
-    rows = placed.join(sums, "bucket").join(members.drop("root"), "id").join(all_of, "id")
-    outside = rows.filter("root <> main").select("bucket", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"), "id", "root", "n", "p1", "p2", "mine")
-    there = rows.select(F.col("bucket").alias("at"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("part"), F.col("id").alias("x"), F.col("root").alias("there"), F.col("n").alias("xn"), F.col("p1").alias("x1"), F.col("p2").alias("x2"), F.col("mine").alias("its"))
-    once = F.col("bucket") == F.array_min(F.array_intersect("mine", "its"))
-    pairs = outside.join(there, [F.col("bucket") == F.col("at"), F.col("block") == F.col("part"), F.col("root") != F.col("there"), alike(percent) & once])
-    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
-
-
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
+    def __init__(self, spark):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(shared_path(self.spark, label))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self) -> None:
+        while self.paths:
+            drop_path(self.spark, self.paths.pop())
+
+
+def components(edges: DataFrame, kept) -> DataFrame:
     """(id, root): for each id in the edges (a, b) the smallest id it is connected with.
 
     Alternates large-star and small-star steps until the edges stay the same; each
-    round is written to the shared folder.
+    round is written to the shared folder, and so are the smallest neighbours, so that
+    Spark can split the join of an id with very many neighbours.  ``kept`` writes the result.
     """
     spark = edges.sparkSession
-    path = shared_path(spark, label)
-    schema = edges.schema
-    edges.filter("a <> b").distinct().write.parquet(path)
-    seen = None
+    now, seen = Scratch(spark), None
+    table = now(edges.filter("a <> b").distinct(), "components")
     while True:
-        now = spark.read.schema(schema).parquet(path)
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        after = Scratch(spark)
+        both = table.select("a", "b").union(table.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = now(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "smallest")
         large = both.join(low, "a").filter("b > a").select(F.col("m").alias("a"), "b")
         # small star: each larger end keeps its smallest neighbour, and its other smaller neighbours move there
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = now(large.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), "large-star")
+        least = now(down.groupBy("u").agg(F.min("v").alias("m")), "small-star")
         moved = down.join(least, "u").select(F.col("m").alias("a"), F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("b"))
-        after = shared_path(spark, label)
-        moved.filter("a <> b").distinct().write.parquet(after)
-        drop_path(spark, path)
-        path = after
-        told = spark.read.schema(schema).parquet(path).agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        table = after(moved.filter("a <> b").distinct(), "components")
+        now.drop()
+        now = after
+        told = table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if told == seen:
-            break
+            both = table.select(F.col("b").alias("id"), F.col("a").alias("root")).union(table.select("a", "a"))
+            roots = kept(both.groupBy("id").agg(F.min("root").alias("root")), "roots")
+            now.drop()
+            return roots
         seen = told
-    return spark.read.schema(schema).parquet(path).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", repeats: bool = True) -> DataFrame:
     """key, n_shingles, component_id (smallest id connected by links), kept (is that id).
 
     Links: 100 * |A & B| >= percent * |A | B| on the sets of distinct k-word
     shingles of the lower-cased text.  A text with fewer words is one shingle;
     null, empty and wordless texts have the empty set and link with nothing.  Rows
-    that repeat an id are one node: each gets its own n_shingles and the common
-    component.  Rows with a null id come back unlinked (component null, kept).
+    that repeat an id are one document: each gets its own n_shingles and the common
+    component, with the links of all its texts (``repeats=False`` says that there are
+    no such rows).  Rows with a null id come back unlinked (component null, kept).
     An empty table gives an empty result; columns besides key and text are not read.
     """
     spark = docs.sparkSession
-    path = shared_path(spark, "sketches")
     docs = docs.select(key, "text")
-    base = sketches(docs, k, key)
-    base.write.parquet(path)
-    base = spark.read.schema(base.schema).parquet(path)
+    lasting, scratch = Scratch(spark), Scratch(spark)
+    base = lasting(sketches(docs, k, key), "sketches")
     real = base.filter(F.col("n") > 0).filter(F.col(key).isNotNull())
-    classes = real.groupBy("n", "f1", "f2").agg(F.min(key).alias("rep"))
-    reps = real.join(classes, ["n", "f1", "f2"]).filter(F.col(key) == F.col("rep")).select(key, "n", "p1", "p2", "registers", "bands").dropDuplicates([key])
-    rep_path = shared_path(spark, "representatives")
-    reps.write.parquet(rep_path)
-    reps = spark.read.schema(reps.schema).parquet(rep_path)
-
-    temporary = [rep_path]
-
-    def kept(df: DataFrame, label: str) -> DataFrame:
-        temporary.append(shared_path(spark, label))
-        df.write.parquet(temporary[-1])
-        return spark.read.schema(df.schema).parquet(temporary[-1])
-
-    side = lambda c: reps.select(F.col(key).alias(c), F.col("registers").alias(f"r{c}"), F.col("n").alias(f"n{c}"))
-    enough = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that are links."""
-        guess = kept(likely(pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(enough), percent / 100 - 0.17), "pairs")
-        ids = guess.select(F.col("a").alias(key)).union(guess.select(F.col("b").alias(key))).distinct()
-        sets = kept(full_sets(docs, ids, k, key), "sets").dropDuplicates([key])
-        return confirmed(guess.join(sets.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b"), percent)
-
-    rows = reps.select(F.explode("bands").alias("bucket"), F.col(key).alias("id"), "n", "p1", "p2")
-    pairs, large = bucket_pairs(rows, percent)
-    # an id that repeats with different texts ties its classes together
-    ties = real.join(classes, ["n", "f1", "f2"]).groupBy(key).agg(F.min("rep").alias("r0"), F.collect_set("rep").alias("reps")).filter(F.size("reps") > 1)
-    ties = ties.select("r0", F.explode("reps").alias("b")).filter("r0 <> b").select(F.col("r0").alias("a"), "b")
-    links = kept(verified(pairs).union(ties), "links")
-    roots = components(links)
-    large = kept(large, "large")
-    if not large.isEmpty():
-        members = reps.select(F.col(key).alias("id"), "n", "p1", "p2").join(large.select("id").distinct(), "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        members = kept(members, "members")
-        late, rest = stragglers(kept(large.join(members.select("id", "root"), "id"), "placed"), members, percent)
-        rest = kept(rest, "rest")
-        more = late.union(blocks(rest.filter(F.col("out") <= PLAIN), members, percent))
-        vast = rest.filter(F.col("out") > PLAIN)
-        if not vast.isEmpty():
-            # finer buckets: a band with each of the NEIGHBOURS that follow it, around the end
-            again = reps.join(vast.select(F.col("id").alias(key)).distinct(), key).select(F.col(key).alias("id"), "n", "p1", "p2", "bands")
-            count = REGISTERS // BAND
-            two = f"flatten(transform(sequence(0, {count - 1}), i -> transform(sequence(1, {NEIGHBOURS}), d -> xxhash64(bands[i], bands[(i + d) % {count}]))))"
-            finer = again.select(F.explode(F.expr(two)).alias("bucket"), "id", "n", "p1", "p2")
-            finer_pairs, finer_large = bucket_pairs(finer, percent)
-            finer_late, finer_rest = stragglers(kept(finer_large.join(members.select("id", "root"), "id"), "finer"), members, percent)
-            more = more.union(finer_pairs).union(finer_late).union(blocks(kept(finer_rest, "finer-rest"), members, percent))
-        found = verified(more)
-        roots = components(links.union(found))
-    for p in temporary:
-        drop_path(spark, p)
-    of_class = classes.join(roots, F.col("rep") == F.col("id"), "left").select("n", "f1", "f2", F.coalesce("root", "rep").alias("component"))
-    out = base.select(key, "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
+    same = ["n", "f1", "f2"]  # equal sets have equal registers
+    classes = real.groupBy(*same).agg(F.min(key).alias("rep"), *(F.first(c).alias(c) for c in ("p1", "p2", "registers")))
+    nodes = scratch(classes.select(F.monotonically_increasing_id().alias("id"), "*"), "nodes")
+
+    pairs, large = bucket_pairs(band_rows(nodes), percent)
+    pairs = scratch(pairs.distinct(), "pairs")
+    large = scratch(large, "large")
+    side = lambda c: nodes.select(F.col("id").alias(c), F.col("registers").alias(f"r{c}"), F.col("n").alias(f"n{c}"))
+    guess = scratch(likely(pairs.join(side("a"), "a").join(side("b"), "b"), percent / 100 - 0.17), "likely")
+    grouped = scratch(frames.led(scratch(frames.with_score(large), "scored"), "bucket", 2, scratch), "frames")
+    asked = guess.select(F.col("a").alias("id")).union(guess.select("b")).union(grouped.select("id")).union(grouped.select("lead")).distinct()
+    sets = scratch(full_sets(docs, nodes.join(asked, "id"), k, key), "sets")
+    of = lambda c: sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"))
+    links = confirmed(guess.join(of("a"), "a").join(of("b"), "b"), percent)
+    if repeats:
+        links = links.union(ties(real, nodes, key))
+    diff = scratch(frames.differences(grouped, sets, percent, scratch), "differences")
+    links = scratch(links.union(frames.near_leader(diff, percent)), "links")
+    if not diff.isEmpty():
+        links = scratch(links.union(frames.gathered(diff, sets, percent, scratch)), "links")
+        links = links.union(frames.across(diff, components(links, scratch), percent, scratch))
+    roots = components(links, scratch)
+    reps = scratch(roots.join(nodes.select("id", "rep"), "id").groupBy("root").agg(F.min("rep").alias("component")), "names")
+    named = roots.join(reps, "root").select("id", "component")
+    of_class = lasting(nodes.join(named, "id", "left").select(*same, F.coalesce("component", "rep").alias("component")), "classes")
+    scratch.drop()
+    out = base.select(key, *same).join(of_class, same, "left")
     component = F.when((F.col("n") > 0) & F.col(key).isNotNull(), F.col("component")).otherwise(F.col(key))
     return out.select(key, F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+
+
+def ties(real: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """Links (a, b) between the classes of the texts that share an id."""
+    me = F.struct("n", "f1", "f2")
+    many = real.groupBy(key).agg(F.min(me).alias("lo"), F.max(me).alias("hi")).filter("lo <> hi").select(key)
+    at = real.join(many, key).select(key, "n", "f1", "f2").join(nodes.select("id", "n", "f1", "f2"), ["n", "f1", "f2"]).select(key, "id")
+    return at.join(at.groupBy(key).agg(F.min("id").alias("a")), key).filter("a <> id").select("a", F.col("id").alias("b")).distinct()

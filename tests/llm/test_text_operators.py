@@ -235,22 +235,87 @@ def test_near_duplicates(spark, docs, rows, monkeypatch, nothing):
     assert setsketch.near_duplicates(nothing).count() == 0
 
 
-@pytest.mark.parametrize("plain", [2, 1000])
-def test_near_duplicates_many_components_in_large_buckets(spark, monkeypatch, plain):
-    """Forty groups of three that share most of their text: buckets are large, and few members are in the largest component."""
-    for name, value in (("SMALL_BUCKET", 4), ("STRAGGLERS", 2), ("MEETINGS", 0), ("BLOCK", 7), ("PLAIN", plain)):
-        monkeypatch.setattr(setsketch, name, value)
-    common, made = prose(100).split(), []
-    for g in range(40):
-        own = common[:]
-        for at in range(3, 100, 24):  # groups stay under 0.8, members of one are above
-            own[at] = f"group{g}"
-        for m in range(3):
-            made.append((g * 3 + m, " ".join([*own, f"end{m}"]), "en"))
-    df = spark.createDataFrame(made, "doc_id bigint, text string, lang string")
-    want = brute_components(made, 5, 80)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setsketch.near_duplicates(df).collect()}
-    assert got == want and len({c for _, c in want.values()}) == 40
+def links_of(sets, percent):
+    """Smallest place connected with each set by links, by comparing all pairs."""
+    root = list(range(len(sets)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return [find(i) for i in range(len(sets))]
+
+
+def spread_group(n, words, rate, fresh):
+    """Copies of one text with words replaced at very different rates, by new words or by one of a few."""
+    base, out = prose(words).split(), []
+    for i in range(n):
+        p = RND.random() * rate
+        out.append(" ".join(w if RND.random() > p else f"x{RND.getrandbits(40)}" if RND.random() < fresh else RND.choice(EN) for w in base))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["clusters", "fresh words", "few words", "short"])
+def test_near_duplicates_in_large_buckets(spark, monkeypatch, kind):
+    """Groups whose members are at, above and below the threshold from one another, and groups inside groups."""
+    monkeypatch.setattr(setsketch, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(setsketch.frames, "GATHER", 4)
+    monkeypatch.setattr(setsketch.frames, "BLOCK", 7)
+    made = []
+    if kind == "clusters":
+        common = prose(100).split()
+        for g in range(40):
+            own = common[:]
+            for at in range(3, 100, 24):  # groups stay under 0.8, members of one are above
+                own[at] = f"group{g}"
+            made += [" ".join([*own, f"end{m}"]) for m in range(3)]
+    else:
+        made = spread_group(250, 40 if kind == "short" else 150, 0.2 if kind == "short" else 0.12, 0.4 if kind == "few words" else 1)
+    rows = [(i, t, "") for i, t in enumerate(made)]
+    want = brute_components(rows, 5, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert got == want
+    many = collections.Counter(c for _, c in want.values())
+    assert len(many) == 40 if kind == "clusters" else 20 < len(many) < 230 and max(many.values()) > 20
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_frames_find_every_link(spark, tmp_path, monkeypatch, percent):
+    """One frame of random sets around a leader: the links found connect what all pairs connect."""
+    from starloom.llm import frames
+
+    monkeypatch.setattr(frames, "GATHER", 5)
+    scratch = setsketch.Scratch(spark)
+    for trial in range(3):
+        base, sets = list(range(100, 130)), []
+        for _ in range(120):
+            drop, extra = RND.randint(0, 12), RND.randint(0, 12)
+            sets.append({*RND.sample(base, 30 - drop), *(RND.randint(1000, 1000 + 20 * 8**trial) for _ in range(extra))})
+        sets[0] = set(base)
+        table = spark.createDataFrame([(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in enumerate(sets)], "id bigint, s binary")
+        grouped = spark.createDataFrame([(0, i, 1) for i in range(1, 120)], "lead bigint, id bigint, score bigint")
+        diff = scratch(frames.differences(grouped, table, percent, scratch), "d")
+        links = scratch(frames.near_leader(diff, percent).union(frames.gathered(diff, table, percent, scratch)), "l")
+        links = links.union(frames.across(diff, setsketch.components(links, scratch), percent, scratch)).collect()
+        assert all(100 * len(sets[r.a] & sets[r.b]) >= percent * len(sets[r.a] | sets[r.b]) for r in links)
+        root = list(range(120))
+        find = lambda x: x if root[x] == x else find(root[x])  # noqa: B023, E731
+        for r in links:
+            x, y = sorted((find(r.a), find(r.b)))
+            root[y] = x
+        assert [find(i) for i in range(120)] == links_of(sets, percent)
+    scratch.drop()
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    base = prose(60)
+    near, other = base.split(), prose(60)
+    near[30] = "changed"
+    rows = [(1, base), (1, other), (2, " ".join(near)), (3, other), (None, base), (None, None), (4, None), (4, ""), (5, "a b"), (6, "A  b")]
+    out = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out if r.doc_id) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (5, 5, True), (6, 5, False)]
+    assert [(r.component_id, r.kept) for r in out if r.doc_id is None] == [(None, True)] * 2
 
 
 def test_decontamination(spark, docs, nothing):
