@@ -12,16 +12,17 @@ the link bound 100 |A & B| >= p |A | B| is
 
 1. Members with s <= (100 - p) t are linked with the leader.  Two members with c = 0
    can be linked only if both of them are, so they are in one component then.
-2. What is left are pairs with a member outside (s above that) that share elements of
-   their differences.  An element counts only if members of different components hold
-   it.  With r such elements a member needs a partner with
+2. What is left are pairs of different components, of which one member is not in the
+   leader's, that share elements of their differences.  An element counts only if members
+   of different components hold it.  With r such elements a member needs a partner with
    s_a + s_b - (100 + p) min(r_a, r_b) <= (100 - p) t; members without any go.
 3. The others meet by prefix filtering: a link has at least so many elements in
    common, so the rarest ones of both (all but that many, less one) share one.
 4. Pairs that meet are decided by the formula on their whole differences.
 
-Members outside are first gathered around leaders of their own, so that groups inside
-a bucket become components by one comparison a member.
+First the leader gives way to a member nearer to the middle of its frame, and members
+outside are gathered around leaders of their own, so that groups inside a bucket become
+components by one comparison a member.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ from .common import like
 BLOCK, ROUNDS = 1000, 2
 #: Frames with fewer members outside get no further leader.
 GATHER = 24
-#: Bins of s, by eighths of the link bound, in which the best partners are kept; the last is open.
-BINS = 256
+#: Bins of s, FINE to the link bound, in which the best partners are kept; the last is open.
+BINS, FINE = 1024, 64
 
 
 def with_score(large: DataFrame) -> DataFrame:
@@ -46,10 +47,27 @@ def with_score(large: DataFrame) -> DataFrame:
     return large.join(large.groupBy("id").agg(F.sum("size").alias("score")), "id").select("bucket", "id", "score")
 
 
-def led(rows: DataFrame, group: str, least: int, kept) -> DataFrame:
-    """Distinct (lead, id, score): the members of each group and its leader, for groups of ``least`` or more."""
-    leads = kept(rows.groupBy(group).agg(F.max(F.struct("score", "id")).alias("l"), F.count("*").alias("c")).filter(F.col("c") >= least).select(group, F.col("l.id").alias("lead")), "leads")
-    return rows.join(leads, group).filter("lead <> id").select("lead", "id", "score").distinct()
+def led(large: DataFrame, kept) -> DataFrame:
+    """Distinct (lead, id, score): the members of all large buckets (bucket, id, size), by leader.
+
+    A bucket's own leader is its member of highest score.  Buckets of one group have
+    members in common, so a member's best leader is the one of highest score among its
+    buckets', and a bucket half of whose members have one best leader takes that (any
+    real set can lead): a group's buckets become one frame or a few.
+    """
+    rows = kept(with_score(large), "scored")
+    own = kept(rows.groupBy("bucket").agg(F.max(F.struct("score", "id")).alias("own")), "leads")
+    best = kept(rows.join(own, "bucket").groupBy("id").agg(F.max("own").alias("best")), "best")
+    votes = rows.join(best, "id").groupBy("bucket", "best").agg(F.count("*").alias("n"))
+    most = votes.groupBy("bucket").agg(F.max(F.struct("n", "best")).alias("most"), F.sum("n").alias("all"))
+    leads = own.join(most, "bucket").select("bucket", F.when(F.col("most.n") * 2 >= F.col("all"), F.col("most.best.id")).otherwise(F.col("own.id")).alias("lead"))
+    return rows.join(kept(leads, "leads"), "bucket").filter("lead <> id").select("lead", "id", "score").distinct()
+
+
+def led_again(outside: DataFrame, kept) -> DataFrame:
+    """Distinct (lead, id, score) of rows (of, id, score): each group's member of highest score leads it, in groups of GATHER or more."""
+    leads = outside.groupBy("of").agg(F.max(F.struct("score", "id")).alias("l"), F.count("*").alias("c")).filter(F.col("c") >= GATHER).select("of", F.col("l.id").alias("lead"))
+    return outside.join(kept(leads, "leads"), "of").filter("lead <> id").select("lead", "id", "score").distinct()
 
 
 def differences(frames: DataFrame, sets: DataFrame, percent: int, kept) -> DataFrame:
@@ -75,6 +93,27 @@ def differences(frames: DataFrame, sets: DataFrame, percent: int, kept) -> DataF
     return together.mapInArrow(run, "lead bigint, id bigint, score bigint, t bigint, s bigint, d array<bigint>")
 
 
+def recentred(diff: DataFrame, sets: DataFrame, percent: int, kept) -> DataFrame:
+    """``diff`` with a leader nearer to the middle for frames of which a part, not most, is outside.
+
+    The middle of a frame has what most members have.  Elements that more than half of
+    the differences hold lead from the leader to it; the member whose difference has most
+    of these and little else is the new leader.
+    """
+    out = F.sum((F.col("s") > F.col("t") * (100 - percent)).cast("int"))
+    frames = diff.groupBy("lead").agg(F.count("*").alias("size"), out.alias("out")).filter("out > 0 and out * 4 < size * 3").select("lead", "size")
+    frames = kept(frames, "uneven")
+    each = diff.join(frames, "lead").select("lead", "size", "id", F.explode("d").alias("x"))
+    most = kept(each.groupBy("lead", "x").agg(F.count("*").alias("c"), F.first("size").alias("size")).filter("c * 2 > size").select("lead", "x"), "most")
+    shared = each.join(most, ["lead", "x"]).groupBy("lead", "id").agg(F.count("*").alias("shared"))
+    worth = F.struct((F.col("s") - F.col("shared") * (100 + percent)).alias("far"), F.col("id").alias("to"))
+    moved = diff.join(shared, ["lead", "id"]).groupBy("lead").agg(F.min(worth).alias("w")).select("lead", "w.*").filter("far < 0").select("lead", "to")
+    moved = kept(moved, "moved")
+    there = diff.join(moved, "lead").filter("id <> to").select(F.col("to").alias("lead"), "id", "score").union(moved.select(F.col("to").alias("lead"), F.col("lead").alias("id"), F.lit(0).cast("bigint").alias("score")))
+    new = differences(kept(there.groupBy("lead", "id").agg(F.max("score").alias("score")), "recentred"), sets, percent, kept)
+    return kept(diff.join(moved, "lead", "left_anti").unionByName(new), "recentred-differences")
+
+
 def near_leader(diff: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of members with their leaders."""
     return diff.filter(F.col("s") <= F.col("t") * (100 - percent)).select(F.col("lead").alias("a"), F.col("id").alias("b"))
@@ -85,28 +124,29 @@ def gathered(diff: DataFrame, sets: DataFrame, percent: int, kept) -> DataFrame:
     links = None
     for _ in range(ROUNDS):
         outside = diff.filter(F.col("s") > F.col("t") * (100 - percent)).select(F.col("lead").alias("of"), "id", "score")
-        frames = kept(led(outside, "of", GATHER, kept), "gathered")
+        frames = kept(led_again(outside, kept), "gathered")
         diff = kept(differences(frames, sets, percent, kept), "gathered-differences")
         links = near_leader(diff, percent) if links is None else links.union(near_leader(diff, percent))
     return links
 
 
 def _pruned(rows: DataFrame, percent: int, kept) -> DataFrame:
-    """Rows (lead, id, root, t, s, x: elements) that may have a link: with their useful elements, rarest first, and ``least``.
+    """Rows (lead, id, root, out, t, s, x: elements) that may have a link: with their useful elements, rarest first, and ``least``.
 
-    ``least`` is the number of elements that any link of the row has in common with its partner.
+    ``least`` is the number of elements that any link of the row has in common with its
+    partner; ``out`` says that the row isn't in its leader's component, as one of a pair's has to be.
     """
     each = rows.select("lead", "id", "root", F.explode("x").alias("x"))
     useful = each.groupBy("lead", "x").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("lead", "x", "c")
     held = each.select("lead", "id", "x").join(kept(useful, "useful"), ["lead", "x"]).groupBy("lead", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda e: e["x"]).alias("x"))
     limit, weight = F.col("t") * (100 - percent), F.lit(100 + percent)
     live = rows.drop("x").join(held, ["lead", "id"]).withColumns({"limit": limit, "r": F.size("x").cast("bigint")})
-    live = live.withColumns({"gain": weight * F.col("r") - F.col("s"), "out": F.col("s") > F.col("limit"), "bin": F.least(F.floor(F.col("s") * 8 / F.greatest("limit", F.lit(1))), F.lit(BINS - 1))})
+    live = live.withColumns({"gain": weight * F.col("r") - F.col("s"), "bin": F.least(F.floor(F.col("s") * FINE / F.greatest("limit", F.lit(1))), F.lit(BINS - 1))})
     live = kept(live, "live")
     bins = live.groupBy("lead", "bin").agg(F.max("gain").alias("gain"), F.max(F.when(F.col("out"), F.col("gain"))).alias("of_out"))
     bins = kept(bins.groupBy("lead").agg(F.collect_list(F.struct("bin", "gain", "of_out")).alias("bins")), "bins")  # BINS entries at most
-    # a partner's s is at least the lower end of its bin, and for a member inside it is one outside
-    edge = lambda b: F.floor(b["bin"] * F.col("limit") / 8)
+    # a partner's s is at least the lower end of its bin; for a member of the leader's component it is one outside
+    edge = lambda b: F.floor(b["bin"] * F.col("limit") / FINE)
     fits = lambda b: (F.when(F.col("out"), b["gain"]).otherwise(b["of_out"]) >= F.col("s") - F.col("limit")) & (edge(b) <= F.col("limit") + F.col("gain"))
     near = live.join(bins, "lead").withColumn("near", F.array_min(F.transform(F.filter("bins", fits), edge))).filter("near is not null")
     near = near.withColumn("near", F.when(F.col("out"), F.col("near")).otherwise(F.greatest("near", F.col("limit") + 1)))
@@ -117,11 +157,12 @@ def _pruned(rows: DataFrame, percent: int, kept) -> DataFrame:
 def across(diff: DataFrame, roots: DataFrame, percent: int, kept) -> DataFrame:
     """Links (a, b) between members of a frame that ``roots`` (id, root) doesn't have in one component."""
     placed = diff.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    placed = kept(placed.select("lead", "id", "root", "t", "s", "d"), "placed")
+    placed = placed.join(roots.select(F.col("id").alias("lead"), F.col("root").alias("main")), "lead", "left")
+    placed = kept(placed.select("lead", "id", "root", (F.col("root") != F.coalesce("main", "lead")).alias("out"), "t", "s", "d"), "placed")
     mixed = kept(placed.groupBy("lead").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("lead"), "mixed")
-    rows = placed.select("lead", "id", "root", "t", "s", F.col("d").alias("x")).join(mixed, "lead")
+    rows = placed.select("lead", "id", "root", "out", "t", "s", F.col("d").alias("x")).join(mixed, "lead")
     for _ in range(2):  # what the first round prunes no longer makes elements useful in the second
-        rows = kept(_pruned(rows.select("lead", "id", "root", "t", "s", "x"), percent, kept), "pruned")
+        rows = kept(_pruned(rows.select("lead", "id", "root", "out", "t", "s", "x"), percent, kept), "pruned")
     keys = rows.select("lead", "id", "root", "s", "limit", "r", "out", F.explode(F.slice("x", F.lit(1), (F.col("r") - F.col("least") + 1).cast("int"))).alias("x"))
     keys = kept(keys, "prefixes")
     one = keys.filter("out").select("lead", "x", *(F.col(c).alias(f"{c}_a") for c in ("id", "root", "s", "limit", "r")))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import frames
-from .common import drop_path, gram_hashes, like, lower_words, mix, shared_path, small_batches, steps, text_column
+from .common import drop_path, gram_hashes, like, lower_words, mix, shared_path, small_batches, steps, text_column, written
 
 REGISTERS, BAND, BASE, RATE, TOP = 112, 4, 1.02, 20.0, 4094
 #: Buckets up to this size give all their pairs.
@@ -230,24 +230,31 @@ class Scratch:
             drop_path(self.spark, self.paths.pop())
 
 
+#: Edges from which on ``components`` writes each step's smallest neighbours.
+MANY_EDGES = 1_000_000
+
+
 def components(edges: DataFrame, kept) -> DataFrame:
     """(id, root): for each id in the edges (a, b) the smallest id it is connected with.
 
     Alternates large-star and small-star steps until the edges stay the same; each
-    round is written to the shared folder, and so are the smallest neighbours, so that
-    Spark can split the join of an id with very many neighbours.  ``kept`` writes the result.
+    round is written to the shared folder, and so are the smallest neighbours where
+    edges are many, so that Spark can split the join of an id with very many
+    neighbours.  ``kept`` writes the result.
     """
     spark = edges.sparkSession
     now, seen = Scratch(spark), None
     table = now(edges.filter("a <> b").distinct(), "components")
+    n = table.count()
     while True:
         after = Scratch(spark)
+        step = now if n >= MANY_EDGES else lambda df, label: df
         both = table.select("a", "b").union(table.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = now(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "smallest")
+        low = step(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "smallest")
         large = both.join(low, "a").filter("b > a").select(F.col("m").alias("a"), "b")
         # small star: each larger end keeps its smallest neighbour, and its other smaller neighbours move there
-        down = now(large.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), "large-star")
-        least = now(down.groupBy("u").agg(F.min("v").alias("m")), "small-star")
+        down = step(large.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), "large-star")
+        least = step(down.groupBy("u").agg(F.min("v").alias("m")), "small-star")
         moved = down.join(least, "u").select(F.col("m").alias("a"), F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("b"))
         table = after(moved.filter("a <> b").distinct(), "components")
         now.drop()
@@ -258,7 +265,7 @@ def components(edges: DataFrame, kept) -> DataFrame:
             roots = kept(both.groupBy("id").agg(F.min("root").alias("root")), "roots")
             now.drop()
             return roots
-        seen = told
+        seen, n = told, told[0]
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", repeats: bool = True) -> DataFrame:
@@ -286,18 +293,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     large = scratch(large, "large")
     side = lambda c: nodes.select(F.col("id").alias(c), F.col("registers").alias(f"r{c}"), F.col("n").alias(f"n{c}"))
     guess = scratch(likely(pairs.join(side("a"), "a").join(side("b"), "b"), percent / 100 - 0.17), "likely")
-    grouped = scratch(frames.led(scratch(frames.with_score(large), "scored"), "bucket", 2, scratch), "frames")
+    grouped = scratch(frames.led(large, scratch), "frames")
     asked = guess.select(F.col("a").alias("id")).union(guess.select("b")).union(grouped.select("id")).union(grouped.select("lead")).distinct()
     sets = scratch(full_sets(docs, nodes.join(asked, "id"), k, key), "sets")
     of = lambda c: sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"))
-    links = confirmed(guess.join(of("a"), "a").join(of("b"), "b"), percent)
+    links = scratch(confirmed(guess.join(of("a"), "a").join(of("b"), "b"), percent), "links")
     if repeats:
         links = links.union(ties(real, nodes, key))
     diff = scratch(frames.differences(grouped, sets, percent, scratch), "differences")
-    links = scratch(links.union(frames.near_leader(diff, percent)), "links")
+    links = links.union(frames.near_leader(diff, percent))
     if not diff.isEmpty():
+        diff = frames.recentred(diff, sets, percent, scratch)
+        links = links.union(frames.near_leader(diff, percent))
         links = scratch(links.union(frames.gathered(diff, sets, percent, scratch)), "links")
         links = links.union(frames.across(diff, components(links, scratch), percent, scratch))
+    links = scratch(links, "links")
     roots = components(links, scratch)
     reps = scratch(roots.join(nodes.select("id", "rep"), "id").groupBy("root").agg(F.min("rep").alias("component")), "names")
     named = roots.join(reps, "root").select("id", "component")
@@ -308,6 +318,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     return out.select(key, F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component of near-duplicates: that of the smallest id, null ids last.
+
+    Every row is a document of its own here, so rows that repeat an id, or have none, are
+    linked by their texts alone, and of equal rows one stays.  Rows with null, empty or
+    wordless texts all stay.  All columns come back.
+    """
+    names = docs.columns
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("_row"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(names))), "numbered")
+    at = f"_{names.index(key)}"
+    me = F.struct(F.col(at).isNull().alias("none"), F.col(at).alias("id"), F.col("_row").alias("row"))
+    texts = numbered.select(me.alias("key"), F.col(f"_{names.index('text')}").alias("text"))
+    gone = near_duplicates(texts, k, percent, "key", repeats=False).filter(~F.col("kept")).select(F.col("key.row").alias("_row"))
+    return numbered.join(gone, "_row", "left_anti").select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))
+
+
 def ties(real: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """Links (a, b) between the classes of the texts that share an id."""
     me = F.struct("n", "f1", "f2")
