@@ -5,13 +5,17 @@ spans.  A candidate is a maximal run of ``[A-Za-z0-9+/_-]`` of 20 characters or
 with a digit and a letter.  Its encoding (hex, base32, base36 or base64) is inferred
 from its characters; three tests look at the digits it stands for:
 
-* chi-squared uniformity over the encoding's alphabet, as a p-value that a string of
-  this length with the letter frequencies of text looks so even,
+* chi-squared uniformity over the encoding's alphabet,
 * runs above and below the middle of the alphabet, and
-* serial correlation at lag one; both must not reject randomness.
+* serial correlation at lag one.
 
-The p-values of each length class go through a Benjamini-Hochberg step of their own
-(counts by bins of p, a table of fixed size), since short strings give weak evidence.
+Each gives a standard score against the hypothesis that the string is text (words,
+names, paths): how much nearer to randomness it is than text of its length tends to be,
+in standard deviations.  The three are combined by Stouffer's weighted sum, whose normal p-value
+is the candidate's: evidence for randomness from one test is taken back by another one
+that speaks against it, as for an alphabet in order.  The p-values of each length class
+go through a Benjamini-Hochberg step of their own (counts by bins of p, a table of fixed
+size), since short strings give weak evidence and shouldn't dilute that of long ones.
 
 Positions are code points, ends exclusive.  Java's matcher gives matches but no
 places; these follow from the lengths of the pieces between the matches.
@@ -44,21 +48,50 @@ ENCODINGS = (
     ("base36", r"^([0-9a-z]+|[0-9A-Z]+)$", DIGITS + UPPER.lower()),
     ("base64", r"", UPPER + UPPER.lower() + DIGITS + "+/"),
 )
-#: Sum of squared letter frequencies of text; upper ends of length classes; normal quantile of the two vetoes; error rate.
-TEXT_SQUARES, CLASS_ENDS, VETO, RATE = 0.06, (28, 40, 64), 3.3, 0.05
+#: Of text, measured on names and paths in source code: the sum of squared letter frequencies, and how far from random
+#: the shares of runs and the lag-one correlations are in the mean.
+TEXT_SQUARES, TEXT_RUNS, TEXT_SERIAL = 0.06, 0.15, 0.16
+#: The first test tells more than the others and counts twice.
+EVEN_WEIGHT = 2
+#: Upper ends of length classes; error rate; elements of an array that are handled at once.
+CLASS_ENDS, RATE, CHUNK = (28, 40, 64), 0.05, 256
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def chunks(values: Column) -> Column:
+    """Runs of CHUNK elements; one empty run if there are none.  ``values`` must be cheap: it is looked up for each run."""
+    last = F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / CHUNK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * CHUNK + 1, F.lit(CHUNK)))
+
+
+def before(values: Column, add) -> Column:
+    """For each int of an array what ``add`` makes of 0 and the ints before it."""
+    none = F.array().cast("array<int>")
+    step = lambda acc, v: F.struct(add(acc["at"], v).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+    return F.aggregate(values, F.struct(F.lit(0).alias("at"), none.alias("all")), step, lambda acc: acc["all"])
 
 
 def spans(text: Column, matches: Column, pattern: str) -> Column:
-    """array<struct<start, stop, hit>> of matches, which are all matches of the pattern in the text."""
+    """array<struct<start, stop, hit>> of matches, which are all matches of the pattern in the text.
+
+    Positions are sums of the lengths before them, summed by chunks, so that texts of very many matches are no square of work.
+    """
     pieces = F.when(F.size(matches) > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"), m.alias("hit")))
+    pairs = lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"), m.alias("hit")))
     none = F.array().cast("array<struct<start:int,stop:int,hit:string>>")
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.concat(acc["found"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("stop"), x["hit"].alias("hit")))).alias("found"))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    total = lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + x["gap"] + x["size"])
+    one = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.concat(acc["found"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("stop"), x["hit"].alias("hit")))).alias("found"))
+    placed = lambda cs: F.zip_with(cs, before(F.transform(cs, total), lambda acc, v: acc + v), lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("found")), one, lambda acc: acc["found"]))
+    found = let(pieces, lambda p: let(pairs(p), lambda xs: let(chunks(xs), lambda cs: F.flatten(placed(cs)))))
+    return F.when(F.size(matches) > 0, found).otherwise(none)
 
 
 def evidence(hit: Column) -> Column:
-    """bin (-10 log10 of the text p-value; -1: not random or no encoding) of a candidate."""
+    """bin (-10 log10 of the p-value that text looks so random, 300 at most; -1: no candidate) of a run."""
     found = F.lit(-1)
     for _name, pattern, alphabet in reversed(ENCODINGS):
         plain = F.translate(hit, "-_", "+/") if len(alphabet) == 64 else F.upper(hit) if alphabet[0] == "A" else F.lower(hit)
@@ -80,20 +113,26 @@ def _verdict(s: Column, letters: Column, k: int, x: Column, total: Column) -> Co
     n = F.size(x).cast("double")
     squares = F.aggregate(F.transform(letters, lambda c: F.pow(n - F.length(F.replace(s, c, F.lit(""))), F.lit(2.0))), F.lit(0.0), add)
     chi, excess = squares * k / n - n, n * (k * TEXT_SQUARES - 1) if k * TEXT_SQUARES > 1 else n * 0.6
-    z = (chi - (k - 1) - excess) / F.sqrt(2.0 * (k - 1) + 4 * excess)
-    # Phi(z) = 1 / (1 + exp(t)), to three digits; -log10 of it without overflow
-    t = -(1.5976 * z + 0.07056 * z * z * z)
-    bin_ = F.floor(F.when(t > 30, t).otherwise(F.log1p(F.exp(F.least(t, F.lit(31.0))))) * (10 / math.log(10)))
+    even = (chi - (k - 1) - excess) / F.sqrt(2.0 * (k - 1) + 4 * excess)
     mean = total / n
-    pairs = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     high = F.size(F.filter(x, lambda v: v >= k / 2)).cast("double")
     turns = F.size(F.filter(pairs, lambda p: (p["a"] >= k / 2) != (p["b"] >= k / 2))) + 1
-    expect = 2 * high * (n - high) / n + 1
-    runs = (turns - expect) / F.sqrt(F.greatest((expect - 1) * (expect - 2) / (n - 1), F.lit(0.01)))
+    # a random string has half of its digits above the middle, and turns at every other one
+    runs = (F.abs(turns - (n + 1) / 2) - TEXT_RUNS * n) / F.sqrt(n - 1) * 2
     spread = F.aggregate(F.transform(x, lambda v: (v - mean) * (v - mean)), F.lit(0.0), add)
     serial = F.aggregate(F.transform(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean)), F.lit(0.0), add) / F.greatest(spread, F.lit(1e-9))
-    corr = (serial + 1 / n) * F.sqrt(n)
-    return F.when((F.abs(runs) <= VETO) & (F.abs(corr) <= VETO), F.least(bin_, F.lit(300))).otherwise(F.lit(-1))
+    corr = (F.abs(serial + 1 / n) - TEXT_SERIAL) * F.sqrt(n)
+    z = (EVEN_WEIGHT * even + runs + corr) / math.sqrt(EVEN_WEIGHT**2 + 2)
+    return let(z, lambda z: F.least(F.floor(surprise(z)), F.lit(300)))
+
+
+def surprise(z: Column) -> Column:
+    """-10 log10 of the normal distribution function, by a logistic fit and below -3 by its tail's upper bound."""
+    t = -(1.5976 * z + 0.07056 * z * z * z)
+    middle = F.log1p(F.exp(F.least(t, F.lit(31.0))))
+    tail = z * z / 2 + F.log(-z * math.sqrt(2 * math.pi))
+    return F.when(z < -3, tail).otherwise(middle) * (10 / math.log(10))
 
 
 def length_class(n: Column) -> Column:
@@ -154,8 +193,28 @@ def joined(spans_: str) -> Column:
 
 
 def redacted(text: str, spans_: str, mark: str = "[SECRET]") -> Column:
-    """The text with every span (overlapping ones as one) replaced by the mark."""
-    step = lambda acc, s: F.when(s["stop"] <= acc["at"], acc).otherwise(F.struct(s["stop"].alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out")))
-    done = F.aggregate(spans_, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    whole = F.transform(F.array(done), lambda d: F.concat(d["out"], F.substring(F.col(text), d["at"] + 1, F.length(text))))[0]
-    return F.when(F.size(spans_) == 0, F.col(text)).otherwise(whole)
+    """The text with every span (overlapping ones as one) replaced by the mark; the spans are sorted by start.
+
+    Spans are handled by chunks: each cuts its own stretch out of the text, and only that
+    is cut further, since Spark counts a text's characters from its beginning for every cut.
+    """
+    ends = lambda cs: F.transform(cs, lambda c: F.coalesce(F.array_max(F.transform(c, lambda s: s["stop"])), F.lit(0)))
+
+    def chunk(c, first):
+        last = F.greatest(first, F.coalesce(F.array_max(F.transform(c, lambda s: s["stop"])), F.lit(0)))
+        part = F.substring(F.col(text), first + 1, last - first)
+
+        def cut(part):
+            def step(acc, s):
+                more = F.concat(acc["out"], F.substring(part, acc["at"] - first + 1, s["start"] - acc["at"]), F.lit(mark))
+                new = F.struct(s["stop"].alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(more).alias("out"))
+                return F.when(s["stop"] <= acc["at"], acc).otherwise(new)
+
+            return F.aggregate(c, F.struct(first.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+        return let(part, cut)
+
+    most = lambda a, b: F.greatest(a, b)
+    cut = let(chunks(F.col(spans_)), lambda cs: F.array_join(F.zip_with(cs, before(ends(cs), most), chunk), ""))
+    end = F.array_max(F.transform(spans_, lambda s: s["stop"]))
+    return F.when(F.size(spans_) == 0, F.col(text)).otherwise(F.concat(cut, let(end, lambda e: F.substring(F.col(text), e + 1, F.length(text)))))
