@@ -8,7 +8,7 @@ windows that cover its whole text; its scores are the windows' probabilities,
 averaged by their bytes.
 
 Training reads a bounded, stratified sample of labelled rows: at most
-``per_language`` rows of each of the ``max_languages`` most frequent labels, chosen
+``per_language`` rows of each label and ``max_rows`` in all, a row a label at least, chosen
 by a hash of the key, ``pieces`` pieces of each.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, and
@@ -140,18 +140,23 @@ def pieces_of(texts: list[str]) -> np.ndarray:
     return x
 
 
-def train(docs: DataFrame, allowed, key: str = "doc_id", label: str = "lang", per_language: int = 1200, max_languages: int = 200, pieces: int = 3) -> Scorer | None:
-    """Fit on a bounded sample of rows with a label for which ``allowed`` (a column) is true; None if there are none."""
+def train(docs: DataFrame, allowed, key: str = "doc_id", label: str = "lang", per_language: int = 1200, max_rows: int = 240_000, pieces: int = 3) -> Scorer | None:
+    """Fit on a bounded sample of rows with a label for which ``allowed`` (a column) is true; None if there are none.
+
+    Every label is learnt: from ``per_language`` rows, or fewer where all labels together
+    would pass ``max_rows``, one at least.
+    """
     known = docs.filter(allowed & F.col(label).isNotNull() & F.col("text").isNotNull() & F.col(key).isNotNull())
-    counts = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_languages).collect()
+    counts = known.groupBy(label).count().collect()  # a row a label, as the network has a column for each
     if not counts:
         return None
+    per_language = max(1, min(per_language, max_rows // len(counts)))
     # a row takes part in the choice if its hash is under its label's threshold: about twice the rows that are wanted
     h = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40))
-    limit = F.element_at(F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(int((1 << 40) * min(1.0, (2 * per_language + 200) / r[1])))))), F.col(label))
-    names = [r[0] for r in counts]
+    limits = [(r[0], int((1 << 40) * min(1.0, (2 * per_language + 200) / r[1]))) for r in counts]
+    limit = docs.sparkSession.createDataFrame(limits, T.StructType([T.StructField("_label", docs.schema[label].dataType), T.StructField("_limit", T.LongType())]))
     piece = lambda i: F.substring("text", (F.greatest(F.lit(0), F.length("text") - WINDOW) * F.lit(i / max(1, pieces - 1))).cast("int") + 1, F.lit(WINDOW))
-    picked = known.filter(F.col(label).isin(names)).withColumn("_h", h).filter(F.col("_h") < limit).select(label, "_h", F.col(key).alias("_k"), F.array(*(piece(i) for i in range(pieces))).alias("_p"))
+    picked = known.withColumn("_h", h).join(F.broadcast(limit), F.col(label) == F.col("_label")).filter("_h < _limit").select(label, "_h", F.col(key).alias("_k"), F.array(*(piece(i) for i in range(pieces))).alias("_p"))
     order = W.partitionBy(label).orderBy("_h", "_k", "_p")
     sample = picked.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_language).select(label, "_h", "_k", "_p").collect()
     sample.sort(key=lambda r: (r[0], r[1], str(r[2]), r[3]))
