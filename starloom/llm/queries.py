@@ -74,7 +74,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = sharding.ShardStore(spark, shared_path(spark, "shards"), target_bytes=64 << 20, small_bytes=1 << 20)
     arrival = F.coalesce(F.pmod("doc_id", F.lit(ARRIVALS)), F.lit(0)).cast("bigint")
     store.append(docs.select("doc_id", "text", "lang", "source", "n_chars", arrival.alias("arrival"), arrival.alias("batch")), "batch")
-    store.compact(expire=True)
+    store.compact(expire=1)
     return store.read().select("doc_id", "arrival", "source", "n_chars", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))
 
 
