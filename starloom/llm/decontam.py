@@ -203,6 +203,37 @@ def occurrences(docs: DataFrame, items: list[tuple[int, str]], max_edit_percent:
     return docs.select(key, "text").mapInArrow(run, T.StructType([T.StructField(key, kind), T.StructField("item_id", T.LongType()), T.StructField("edits", T.LongType())]))
 
 
+def item_blocks(benchmark: DataFrame, block: int):
+    """The benchmark's items (item_id, text) in lists of at most about ``block``; those without id or text are left out."""
+    kept = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    n = kept.count()
+    blocks = 1 if n <= block else -(-n * 5 // (block * 4))
+    placed = kept.withColumn("_b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    for b in range(blocks):
+        yield [tuple(r) for r in placed.filter(F.col("_b") == b).orderBy("item_id", "text").select("item_id", "text").collect()]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, max_edit_percent: int = 20, block: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no benchmark item, by the rules of ``contaminated``; ids play no part.
+
+    Rows are judged one by one: repeated rows and rows without id or text stay or go by their own text.
+    """
+    small_batches(docs.sparkSession)
+    for items in item_blocks(benchmark, block):
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, max_edit_percent))
+
+        def run(batches, index=index):
+            ix: ItemIndex = index.value
+            for batch in batches:
+                for i, j, raw, off in steps(text_column(batch)):
+                    keep = np.ones(j - i, bool)
+                    keep[[d for d, _ in nearest(ix, *lower_words(raw, off))]] = False
+                    yield batch.slice(i, j - i).filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_edit_percent: int = 20, block: int = 20_000, key: str = "doc_id") -> DataFrame:
     """key, item_id, edits (exact edit distance in words) for each document row that holds a benchmark item.
 
@@ -212,14 +243,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edit_percent: int =
     results (repeated items: one row each).  Empty tables give an empty result.
     """
     small_batches(docs.sparkSession)
-    kept = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = kept.count()
-    if n <= block:
-        return occurrences(docs, [tuple(r) for r in kept.orderBy("item_id", "text").collect()], max_edit_percent, key)
-    blocks = -(-n * 5 // (block * 4))
-    placed = kept.withColumn("_b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     out = None
-    for b in range(blocks):
-        part = occurrences(docs, [tuple(r) for r in placed.filter(F.col("_b") == b).orderBy("item_id", "text").select("item_id", "text").collect()], max_edit_percent, key)
+    for items in item_blocks(benchmark, block):
+        part = occurrences(docs, items, max_edit_percent, key)
         out = part if out is None else out.union(part)
     return out
