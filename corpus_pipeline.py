@@ -1,4 +1,10 @@
-"""A corpus from raw documents to tokens: five stages, each on all that the one before kept."""
+"""A corpus from raw documents to tokens: five stages, each on all that the one before kept.
+
+Rows are judged by their texts.  Null ids and ids that repeat change nothing: no stage
+joins or drops rows by doc_id.  Null, empty and wordless texts have no language and go in
+the first stage; of equal rows the near-duplicate stage keeps one.  Empty tables give an
+empty result, and columns besides those of documents are not read.
+"""
 
 from __future__ import annotations
 
@@ -21,18 +27,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays (five words, 0.8)."""
-    gone = setsketch.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
-    if not docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])  # one row of an id that repeats
-    return kept.select(COLUMNS)
+    """One document of each component of near-duplicates stays (five words, 0.8): that of the smallest id.
+
+    Five words are the rule for near-duplicates; op9's own contract asks for four.
+    """
+    return setsketch.one_of_each(docs.select(COLUMNS))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    hits = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(hits, "doc_id", "left_anti").select(COLUMNS)
+    return decontam.clean(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
