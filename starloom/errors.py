@@ -20,6 +20,10 @@ class SCDError(StarloomError): ...
 class LoadError(StarloomError): ...
 
 
+class StopStream(LoadError):
+    """A stream that has had as many batches as it was to have."""
+
+
 class KeyResolutionError(LoadError): ...
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import SCDError
+
 AUDIT = ("checksum", "is_current", "valid_from", "valid_to")
 
 
@@ -42,6 +44,53 @@ def classified(current: DataFrame, batch: DataFrame, nk: list[str], tracked: lis
     return j.select("b.*", kind.alias("_class"))
 
 
+def updated(current: DataFrame, rows: DataFrame, nk: list[str], columns: list[str]) -> DataFrame:
+    """Columns of current rows with the values of ``rows`` (one a key); other rows stay as they are."""
+    hit = F.col("u._hit").isNotNull() & F.col("t.is_current")
+    swap = {x: F.when(hit, F.col(f"u.{x}")).otherwise(F.col(f"t.{x}")) for x in columns}
+    u = rows.select(*nk, *columns).withColumn("_hit", F.lit(True))
+    return current.alias("t").join(u.alias("u"), same_key(nk, "t", "u"), "left").select(*(swap.get(x, F.col(f"t.{x}")).alias(x) for x in current.columns))
+
+
+def rotated(current: DataFrame, rows: DataFrame, nk: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Of each pair (now, before) of current rows before <- now and now <- the row's value."""
+    hit = F.col("u._hit").isNotNull() & F.col("t.is_current")
+    swap = {}
+    for now, before in pairs:
+        swap[before] = F.when(hit, F.col(f"t.{now}")).otherwise(F.col(f"t.{before}"))
+        swap[now] = F.when(hit, F.col(f"u.{now}")).otherwise(F.col(f"t.{now}"))
+    u = rows.select(*nk, *(a for a, _ in pairs)).withColumn("_hit", F.lit(True))
+    return current.alias("t").join(u.alias("u"), same_key(nk, "t", "u"), "left").select(*(swap.get(x, F.col(f"t.{x}")).alias(x) for x in current.columns))
+
+
+def plan(current: DataFrame, batch: DataFrame, nk: list[str], tracked: list[str], as_of: str, inferred: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(to_close, to_insert) of type 2: current rows that end at ``as_of``, and rows that come in as new versions."""
+    c = classified(current, batch, nk, tracked, inferred)
+    ends = current.filter("is_current").alias("t").join(c.filter("_class = 'changed'").select(*nk).alias("m"), same_key(nk, "t", "m"), "left_semi")
+    return ends, _opened(c.filter("_class IN ('new', 'changed')"), as_of, current, {inferred: F.lit(False)} if inferred else None)
+
+
+def applied(kind: int | str, current: DataFrame, batch: DataFrame, nk: list[str], tracked, as_of: str, **options) -> DataFrame:
+    """The next state by a dimension's type.
+
+    ``tracked`` is a list of columns (types 1, 2 and "metadata"), of (now, before) pairs
+    (type 3), or a pair of lists, overwritten and versioned columns (type 6).
+    """
+    if options.get("deduplicate_by") and kind != 2:
+        batch = deduplicated(batch, nk, options.pop("deduplicate_by"))
+    if kind == 1:
+        return scd1(current, batch, nk, list(tracked), as_of)
+    if kind == 2:
+        return scd2(current, batch, nk, list(tracked), as_of, **options)
+    if kind == 3:
+        return scd3(current, batch, nk, list(tracked), as_of)
+    if kind == 6:
+        return scd6(current, batch, nk, list(tracked[0]), list(tracked[1]), as_of)
+    if kind == "metadata":
+        return scd_metadata(current, batch, nk, list(tracked), as_of)
+    raise SCDError(f"no slowly changing dimension of type {kind!r}")
+
+
 def scd1(current: DataFrame, batch: DataFrame, nk: list[str], tracked: list[str], as_of: str) -> DataFrame:
     """Overwrite tracked columns of current rows; new keys are inserted.  The checksum follows."""
     c = classified(current, batch, nk, tracked)

@@ -77,10 +77,11 @@ def coerce(source: str | Source) -> Source:
         return source
     if not isinstance(source, str):
         raise LoadError(f"no source: {type(source).__name__}")
-    if source.endswith(".parquet") or source.endswith("/"):
+    name = source.rstrip("*").lower()
+    if name.endswith((".parquet", ".parq", "/")) or ".parquet" in name or ".parq" in name:
         return parquet(source)
-    if source.endswith((".csv", ".tsv")):
-        return csv(source, sep="\t" if source.endswith(".tsv") else ",")
+    if name.endswith((".csv", ".tsv", ".csv.gz", ".tsv.gz")):
+        return csv(source, sep="\t" if ".tsv" in name else ",")
     return table(source)
 
 

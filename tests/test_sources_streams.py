@@ -89,6 +89,100 @@ def test_stream_into_table(spark, tmp_path):
     assert sorted((r.id, r.v) for r in table.read().collect()) == [(1, "b"), (2, "d")]
 
 
+def test_table_versions(spark, people, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), partition_by=("id",))
+    assert t.write(people) == 1 and t.write(people.limit(1), "s-3") == 2
+    assert t.write(people, "s-3") == t.write(people, "s-2") == 2 and t.write(people, "one") == 3
+    for i in range(4, 9):
+        t.write(people.limit(1), f"s-{i}")
+    assert t.write(people, "s-3") == t.write(people, "one") == 8  # replays long after are still known
+    assert t.read(1).count() == 3 and t.read(2).count() == 4 and t.read().count() == 12 and t.read().columns == ["id", "name"]
+    assert len(t.details()["folders"]) == 8
+    t.write_named(people.withColumn("extra", F.lit(5)), ["id", "extra"])
+    assert t.read().filter("extra = 5 and name is null").count() == 3 and t.read().filter("extra is null").count() == 12
+    assert t.compact(2) == 10 and t.read().count() == 15 and len(t.details()["folders"]) == 1
+    assert t.vacuum(2, older_than_seconds=0) == list(range(1, 9)) and t.versions() == [9, 10] and t.read(9).count() == t.read().count() == 15
+    with pytest.raises(LoadError):
+        t.read(3)
+    with pytest.raises(LoadError):
+        t.write(people)  # lacks a column by now
+
+
+def test_table_of_two_writers(spark, people, tmp_path, monkeypatch):
+    """The second one of two writers that have seen the same version fails and loses nothing of the first one's."""
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    t.write(people)
+    seen = t.details()
+    t.write(people.limit(1), "first")
+    with pytest.raises(LoadError):
+        t._commit(seen, people, "second", True)
+    assert t.versions() == [1, 2] and t.read().count() == 4
+    assert t.write(people, "second") == 3 and t.read().count() == 7
+
+
+def test_attribute_changes(spark, tmp_path):
+    rows = [(1, "a", None, True), (1, "z", None, False), (2, "b", None, True)]
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    t.write(spark.createDataFrame(rows, "id bigint, v string, before string, is_current boolean"))
+    new = spark.createDataFrame([(1, "c"), (9, "q")], "id bigint, v string")
+    t.update_attributes(new, ["id"], ["v"])
+    assert sorted(map(tuple, t.read().select("id", "v", "is_current").collect())) == [(1, "c", True), (1, "z", False), (2, "b", True)]
+    t.rotate_attributes(spark.createDataFrame([(2, "d")], "id bigint, v string"), ["id"], [("v", "before")])
+    assert sorted(map(tuple, t.read().filter("is_current").select("id", "v", "before").collect())) == [(1, "c", None), (2, "d", "b")]
+    mini = VersionedTable(spark, str(tmp_path / "m"))
+    mini.write(spark.createDataFrame([(1, "x")], "id bigint, band string"))
+    got = mini.upsert_members(spark.createDataFrame([("y",), ("x",), ("y",)], "band string"), ["band"])
+    assert sorted(map(tuple, got.collect())) == [("x", 1), ("y", 2)]
+
+
+@pytest.mark.parametrize("kind", [1, 2, 3, 6, "metadata"])
+def test_dimension_streams(spark, tmp_path, kind):
+    from starloom.operators import scd
+
+    audit = "checksum string, is_current boolean, valid_from timestamp_ntz, valid_to timestamp_ntz"
+    bag = "id bigint, metadata string, metadata_diff string, row_hash string, is_current boolean, valid_from timestamp_ntz, valid_to timestamp_ntz"
+    start = spark.createDataFrame([], bag if kind == "metadata" else f"id bigint, v string, old string, {audit}")
+    tracked = {3: [("v", "old")], 6: (["old"], ["v"])}.get(kind, ["v"])
+    table, folder = VersionedTable(spark, str(tmp_path / "t")), str(tmp_path / "in")
+    table.write(start)
+    want = start
+    for day, rows in enumerate([[(1, "a", "p"), (2, "b", "p")], [(1, "c", "p"), (3, "d", "p")], [(1, "c", "q")]], 1):
+        batch = spark.createDataFrame(rows, "id bigint, v string, old string")
+        batch.coalesce(1).write.mode("append").parquet(folder)
+        batch = batch if kind in (6, "metadata") else batch.drop("old")
+        want = scd.applied(kind, want, batch, ["id"], tracked, f"2024-01-0{day}")
+        source = streams.files(spark, "parquet", folder, "id bigint, v string, old string")
+        q, seen = streams.dimension(source if kind in (6, "metadata") else source.drop("old"), table, kind, ["id"], tracked, lambda day=day: f"2024-01-0{day}", str(tmp_path / "cp"))
+        q.awaitTermination()
+        assert seen.ok and seen.batches == 1 and seen.rows == len(rows)
+    assert sorted(map(str, table.read().collect())) == sorted(map(str, want.collect()))
+
+
+def test_fact_streams(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([("k1", 5), ("k9", 7), (None, 1)], "code string, v bigint").coalesce(1).write.parquet(folder)
+    dim = VersionedTable(spark, str(tmp_path / "d"))
+    dim.write(spark.sql("select 1L as id, 'k1' as code, true as is_current, false as is_inferred, timestamp_ntz'2020-01-01' as valid_from, cast(null as timestamp_ntz) as valid_to"))
+    facts = VersionedTable(spark, str(tmp_path / "f"))
+    source = lambda: streams.files(spark, "parquet", folder, "code string, v bigint")
+    q, seen = streams.facts(source(), facts, [streams.Member("code", dim, "code")], lambda: "2024-01-01", str(tmp_path / "c1"))
+    q.awaitTermination()
+    assert sorted((r.v, r.code_sk) for r in facts.read().collect()) == [(1, None), (5, 1), (7, 2)]
+    assert dim.read().filter("is_inferred").select("code").collect() == [("k9",)]
+    for make, more in ((lambda t: streams.transactions(source(), t, str(tmp_path / "c2"), name="x"), []), (lambda t: streams.snapshots(source(), t, lambda: "2024-02-01", str(tmp_path / "c3")), ["snapshot_date"])):
+        t = VersionedTable(spark, str(tmp_path / f"t{len(more)}"))
+        q, seen = make(t)
+        q.awaitTermination()
+        assert seen.rows == 3 and t.read().columns == ["code", "v", *more]
+
+    def bad(table, rows, change):
+        raise ValueError("no")
+
+    q, seen = streams.into_table(source(), facts, bad, str(tmp_path / "c4"), skip_failures=True)
+    q.awaitTermination()
+    assert seen.failed == 1 and not seen.ok and "no" in seen.errors[0] and facts.read().count() == 3
+
+
 def test_windows(spark):
     e = spark.sql("select timestamp_ntz'2024-01-01 00:10:00' as ts union all select timestamp_ntz'2024-01-01 00:50:00' union all select timestamp_ntz'2024-01-01 03:00:00'")
     assert sorted(r.n for r in streams.windowed(e, "ts", "1 hour", F.count("*").alias("n")).collect()) == [1, 2]
