@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import like
 
 #: Members of a frame that are compared with its leader in one task's group; rounds that gather members outside.
-BLOCK, ROUNDS = 1000, 2
+BLOCK, ROUNDS = 1000, 1
 #: Frames with fewer members outside get no further leader.
 GATHER = 24
 #: Bins of s, FINE to the link bound, in which the best partners are kept; the last is open.
@@ -161,8 +161,7 @@ def across(diff: DataFrame, roots: DataFrame, percent: int, kept) -> DataFrame:
     placed = kept(placed.select("lead", "id", "root", (F.col("root") != F.coalesce("main", "lead")).alias("out"), "t", "s", "d"), "placed")
     mixed = kept(placed.groupBy("lead").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("lead"), "mixed")
     rows = placed.select("lead", "id", "root", "out", "t", "s", F.col("d").alias("x")).join(mixed, "lead")
-    for _ in range(2):  # what the first round prunes no longer makes elements useful in the second
-        rows = kept(_pruned(rows.select("lead", "id", "root", "out", "t", "s", "x"), percent, kept), "pruned")
+    rows = kept(_pruned(rows, percent, kept), "pruned")
     keys = rows.select("lead", "id", "root", "s", "limit", "r", "out", F.explode(F.slice("x", F.lit(1), (F.col("r") - F.col("least") + 1).cast("int"))).alias("x"))
     keys = kept(keys, "prefixes")
     one = keys.filter("out").select("lead", "x", *(F.col(c).alias(f"{c}_a") for c in ("id", "root", "s", "limit", "r")))

@@ -237,13 +237,13 @@ MANY_EDGES = 1_000_000
 def components(edges: DataFrame, kept) -> DataFrame:
     """(id, root): for each id in the edges (a, b) the smallest id it is connected with.
 
-    Alternates large-star and small-star steps until the edges stay the same; each
+    Alternates large-star and small-star steps until the edges are stars; each
     round is written to the shared folder, and so are the smallest neighbours where
     edges are many, so that Spark can split the join of an id with very many
     neighbours.  ``kept`` writes the result.
     """
     spark = edges.sparkSession
-    now, seen = Scratch(spark), None
+    now = Scratch(spark)
     table = now(edges.filter("a <> b").distinct(), "components")
     n = table.count()
     while True:
@@ -259,13 +259,14 @@ def components(edges: DataFrame, kept) -> DataFrame:
         table = after(moved.filter("a <> b").distinct(), "components")
         now.drop()
         now = after
-        told = table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if told == seen:
+        n = table.count()
+        # done when every edge leads from a component's smallest id to one that has no other edge
+        ends = table.select(F.col("b").alias("id"), F.lit(1).alias("low")).union(table.select("a", F.lit(0)))
+        if ends.groupBy("id").agg(F.sum("low").alias("n"), F.min("low").alias("low")).filter("n > low").isEmpty():
             both = table.select(F.col("b").alias("id"), F.col("a").alias("root")).union(table.select("a", "a"))
             roots = kept(both.groupBy("id").agg(F.min("root").alias("root")), "roots")
             now.drop()
             return roots
-        seen, n = told, told[0]
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", repeats: bool = True) -> DataFrame:
@@ -338,5 +339,7 @@ def ties(real: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """Links (a, b) between the classes of the texts that share an id."""
     me = F.struct("n", "f1", "f2")
     many = real.groupBy(key).agg(F.min(me).alias("lo"), F.max(me).alias("hi")).filter("lo <> hi").select(key)
+    if many.isEmpty():
+        return real.sparkSession.createDataFrame([], "a bigint, b bigint")
     at = real.join(many, key).select(key, "n", "f1", "f2").join(nodes.select("id", "n", "f1", "f2"), ["n", "f1", "f2"]).select(key, "id")
     return at.join(at.groupBy(key).agg(F.min("id").alias("a")), key).filter("a <> id").select("a", F.col("id").alias("b")).distinct()
