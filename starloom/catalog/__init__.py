@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("builder", "dimensions", "temporal", "hierarchy", "graph", "questions", "gold")
+TOPICS = ("builder", "dimensions", "temporal", "hierarchy", "graph", "questions", "gold", "analysis")
 
 
 def _modules():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import communities, graph, schema_graph
 from .common import CUST_HIST_SQL, Topic, cust_hist
 
 T = Topic()
@@ -37,17 +37,17 @@ def _ids(t, *ids):
     return t("nation").sparkSession.createDataFrame([(i,) for i in ids], "id bigint")
 
 
-_START = "SELECT DISTINCT {a} AS id, {b} AS neighbor FROM {t} WHERE {a} % 10 = 1"
+_START = "SELECT DISTINCT {a} AS id, {b} AS neighbor FROM {t}"
 
 
 @T.query(f"WITH {_TRADE} {_START.format(a='src', b='dst', t='trade')}")
 def neighbors_out(t):
-    return graph.neighbors(_trade(t), t("customer").select(F.col("c_custkey").alias("id")).filter("id % 10 = 1"), "out")
+    return graph.neighbors(_trade(t), t("customer").select(F.col("c_custkey").alias("id")), "out")
 
 
 @T.query(f"WITH {_TRADE} {_START.format(a='dst', b='src', t='trade')}")
 def neighbors_in(t):
-    return graph.neighbors(_trade(t), t("supplier").select(F.col("s_suppkey").alias("id")).filter("id % 10 = 1"), "in")
+    return graph.neighbors(_trade(t), t("supplier").select(F.col("s_suppkey").alias("id")), "in")
 
 
 @T.query(f"WITH {_E}, {_BOTH} SELECT DISTINCT src AS id, dst AS neighbor FROM u WHERE src IN (3, 12)")
@@ -55,9 +55,9 @@ def neighbors_both(t):
     return graph.neighbors(_edges(t), _ids(t, 3, 12), "both")
 
 
-@T.query(f"WITH {CUST_HIST_SQL}, {_TRADE} SELECT DISTINCT dst AS id, src AS neighbor FROM trade WHERE dst % 10 = 1 AND src IN (SELECT c_custkey FROM cust_hist WHERE c_mktsegment = 'MOVED' AND valid_from <= TIMESTAMP '1999-01-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1999-01-01'))")
+@T.query(f"WITH {CUST_HIST_SQL}, {_TRADE} SELECT DISTINCT dst AS id, src AS neighbor FROM trade WHERE src IN (SELECT c_custkey FROM cust_hist WHERE c_mktsegment = 'MOVED' AND valid_from <= TIMESTAMP '1999-01-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1999-01-01'))")
 def neighbors_asof(t):
-    s = t("supplier").select(F.col("s_suppkey").alias("id")).filter("id % 10 = 1")
+    s = t("supplier").select(F.col("s_suppkey").alias("id"))
     return graph.neighbors_asof(_trade(t), s, cust_hist(t).filter("c_mktsegment = 'MOVED'"), "c_custkey", "1999-01-01", "in")
 
 
@@ -167,14 +167,88 @@ def closeness(t):
     return graph.closeness(_edges(t))
 
 
-@T.query()
+#: Distances and numbers of shortest paths between all vertices; edges that repeat count once.
+_COUNTED = """x AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst),
+ walk AS (SELECT DISTINCT src AS source, src AS id, 0 AS d, [src] AS path FROM (SELECT src FROM x UNION SELECT dst FROM x)
+ UNION ALL SELECT walk.source, dst, d + 1, list_append(path, dst) FROM walk JOIN x ON walk.id = src JOIN dist ON dist.source = walk.source AND dist.id = dst AND dist.distance = d + 1)"""
+
+
+@T.query(f"""WITH RECURSIVE {_E}, {_DIST}, {_COUNTED}, n AS (SELECT source, id, count(*) AS n FROM walk GROUP BY 1, 2),
+ through AS (SELECT source, id, path[i] AS v, count(*) AS k FROM (SELECT source, id, path, unnest(range(2, len(path))) AS i FROM walk) GROUP BY 1, 2, 3)
+SELECT z.id, round(coalesce(sum(k / n), 0), 6) AS betweenness FROM (SELECT src AS id FROM e UNION SELECT dst FROM e) z LEFT JOIN through ON v = z.id LEFT JOIN n ON n.source = through.source AND n.id = through.id GROUP BY 1""")
 def betweenness(t):
-    return graph.betweenness(_edges(t))
+    return graph.betweenness(_edges(t)).select("id", F.round("betweenness", 6).alias("betweenness"))
+
+
+_VOTES = "both_ways AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) WHERE src <> dst), l0 AS (SELECT id, id AS c FROM (SELECT src AS id FROM e UNION SELECT dst FROM e))" + "".join(
+    f", l{i} AS (SELECT l.id, coalesce(b.c, l.c) AS c FROM l{i - 1} l LEFT JOIN (SELECT dst, c FROM (SELECT dst, c, row_number() OVER (PARTITION BY dst ORDER BY count(*) DESC, c) AS r FROM both_ways JOIN l{i - 1} ON id = src GROUP BY dst, c) WHERE r = 1) b ON b.dst = l.id)"
+    for i in (1, 2, 3)
+)
 
 
-@T.query()
+@T.query(f"WITH {_E}, {_VOTES} SELECT id, c AS community FROM l3")
 def label_propagation(t):
-    return graph.label_propagation(_edges(t))
+    return graph.label_propagation(_edges(t), 3)
+
+
+def _cliques(t):
+    """Nations in five groups by residue, all tied within a group, and each group to the next by one edge."""
+    n = t("nation").select(F.col("n_nationkey").cast("bigint").alias("n"))
+    inside = n.alias("a").join(n.alias("b"), (F.col("a.n") % 5 == F.col("b.n") % 5) & (F.col("a.n") < F.col("b.n"))).select(F.col("a.n").alias("src"), F.col("b.n").alias("dst"))
+    return inside.union(n.filter("n < 5").select("n", ((F.col("n") + 1) % 5)))
+
+
+@T.query("SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey % 5 AS BIGINT) AS community FROM nation")
+def louvain(t):
+    """The groups are the communities of greatest modularity."""
+    return communities.louvain(_cliques(t))
+
+
+@T.query("SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(0 AS BIGINT) AS community FROM nation")
+def community_label(t):
+    return communities.community_label(_cliques(t), "connected_components")
+
+
+@T.query("""WITH out AS (SELECT sum(c) AS f FROM (SELECT 5.0 AS c UNION ALL SELECT 7.0)), mid AS (SELECT least(5.0, 3.0 + 2.0) + least(7.0, 4.0) AS f) SELECT CAST(least(out.f, mid.f) AS DOUBLE) AS flow FROM out, mid""")
+def max_flow(t):
+    """Two ways from 0 to 9, each narrowed in its middle; the least cut is 5 + 4."""
+    e = _edges(t).sparkSession.createDataFrame([(0, 1, 5.0), (0, 2, 7.0), (1, 3, 3.0), (1, 4, 2.0), (2, 4, 4.0), (3, 9, 9.0), (4, 9, 9.0), (9, 0, 50.0), (5, 6, 8.0)], "src bigint, dst bigint, w double")
+    return communities.max_flow(e, 0, 9)
+
+
+@T.query(f"WITH {_E}, d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1) SELECT n_nationkey, n_name, d.degree FROM nation LEFT JOIN d ON d.id = n_nationkey")
+def node_expr(t):
+    """An algorithm's value of each row's vertex."""
+    rows = t("nation").select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name")
+    return communities.node_column(rows, graph.degree(_edges(t)), "n_nationkey", "degree")
+
+
+@T.query(f"WITH RECURSIVE {_E}, {_DIST} SELECT a.n_name AS a, b.n_name AS b, distance AS hops FROM nation a JOIN nation b ON b.n_regionkey = a.n_regionkey LEFT JOIN dist ON source = a.n_nationkey AND id = b.n_nationkey")
+def pair_expr(t):
+    """An algorithm's value of each row's pair of vertices."""
+    side = lambda c: t("nation").select(F.col("n_nationkey").cast("bigint").alias(f"k{c}"), F.col("n_name").alias(c), F.col("n_regionkey").alias(f"r{c}"))
+    rows = side("a").join(side("b"), F.col("ra") == F.col("rb"))
+    return communities.pair_column(rows, graph.distances(_edges(t)), ("ka", "kb"), "hops").select("a", "b", "hops")
+
+
+@T.query(f"WITH {_E} SELECT n_name, (SELECT count(*) FROM e) AS edges, c.n AS in_region FROM nation JOIN (SELECT n_regionkey AS r, count(*) AS n FROM e JOIN nation ON n_nationkey = src GROUP BY 1) c ON c.r = n_regionkey")
+def subgraph_expr(t):
+    """A value of the whole graph, and one of each partition's."""
+    e = _edges(t)
+    rows = t("nation").select("n_name", "n_regionkey")
+    whole = communities.graph_column(rows, e.agg(F.count("*").alias("n")), "edges")
+    part = e.join(t("nation").select(F.col("n_nationkey").cast("bigint").alias("src"), "n_regionkey"), "src").groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    return communities.graph_column(whole, part, "in_region", ["n_regionkey"]).select("n_name", "edges", "in_region")
+
+
+@T.query(f"WITH {_TRADE} SELECT max(o_orderdate) AS fresh, (SELECT count(*) FROM (SELECT DISTINCT src FROM trade WHERE dst = 3)) AS buyers FROM orders")
+def graph_model(t):
+    """A declared graph: how fresh an edge type is, and a supplier's neighbours found by key."""
+    v = [schema_graph.Vertex("customer", "customer", "c_custkey", ("c_name",)), schema_graph.Vertex("supplier", "supplier", "s_suppkey", ("s_suppkey",))]
+    e = [schema_graph.EdgeType("buys", "trade", "customer", "src", "supplier", "dst", {"w": True}, "line"), schema_graph.EdgeType("orders", "orders", "customer", "o_custkey", "customer", "o_custkey", time="o_orderdate")]
+    m = schema_graph.GraphModel(schema_graph.SchemaGraph(v, e), lambda n: _trade(t) if n == "trade" else t(n))
+    buyers = m.neighbors("buys", m.by_key("supplier", 3).select(F.col("s_suppkey").alias("id")), "in").agg(F.count("*").alias("buyers"))
+    return communities.graph_column(m.freshness("orders"), buyers, "buyers")
 
 
 @T.query(f"WITH {_TRADE}, d AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM trade UNION ALL SELECT dst FROM trade) GROUP BY 1) SELECT (SELECT count(*) FROM trade) AS edges, count(*) AS vertices, max(n) AS max_degree, avg(n) AS mean_degree FROM d")

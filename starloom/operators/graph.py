@@ -65,6 +65,7 @@ def paths(edges: DataFrame, starts: DataFrame | None, max_hops: int, ends: DataF
     levels = []
     for hop in range(1, max_hops + 1):
         usable = step if ends is None else step.join(near[max_hops - hop], F.col("dst") == F.col("id"), "left_semi")
+        now = now if hop == 1 else checkpointed(now)  # the levels' union would compute the first ones again and again
         now = now.join(usable, [F.col("last") == F.col("src"), ~F.array_contains("path", F.col("dst"))]).select("first", F.col("dst").alias("last"), F.array_append("path", F.col("dst")).alias("path"), F.array_append("labels", F.col("label")).alias("labels"), (F.col("weight") + F.col("w")).alias("weight"))
         levels.append(now.select("first", "last", F.lit(hop).cast("bigint").alias("hops"), "path", "labels", "weight"))
     out = levels[0]
@@ -109,7 +110,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20) -> D
 
 
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Least label along the edges until nothing changes; after each round labels also jump to their label's label."""
+    """Least label along directed edges until nothing changes: as many rounds as the longest way a label goes."""
     told = None
     while True:
         came = edges.join(labels, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "label")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import SchemaError
 from ..storage import checkpointed
 
 
@@ -22,15 +23,21 @@ def closure(tree: DataFrame, key: str, path: str) -> DataFrame:
     return rows.select("ancestor", "descendant", (F.col("_n") - 1 - F.col("_at")).cast("bigint").alias("depth"))
 
 
-def adjacency_closure(nodes: DataFrame, key: str, parent: str, max_depth: int = 100) -> DataFrame:
-    """``closure`` of a tree held as parent keys: one join a level, until no node has a further ancestor."""
+def adjacency_closure(nodes: DataFrame, key: str, parent: str, max_depth: int | None = None) -> DataFrame:
+    """``closure`` of a tree held as parent keys: one join a level, until no node has a further ancestor.
+
+    ``max_depth`` leaves out ancestors further up.  Without it a cycle, which never ends, is an error.
+    """
     up = checkpointed(nodes.select(F.col(key).alias("node"), F.col(parent).alias("above")).filter("above is not null"))
     level = checkpointed(nodes.select(F.col(key).alias("ancestor"), F.col(key).alias("descendant"), F.lit(0).cast("bigint").alias("depth")))
-    out = level
-    for depth in range(1, max_depth + 1):
+    out, depth = level, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         level = checkpointed(level.join(up, F.col("ancestor") == F.col("node")).select(F.col("above").alias("ancestor"), "descendant", F.lit(depth).cast("bigint").alias("depth")))
         if level.isEmpty():
             break
+        if max_depth is None and not level.filter("ancestor = descendant").isEmpty():
+            raise SchemaError("the parent keys have a cycle")
         out = out.union(level)
     return out
 
@@ -69,3 +76,49 @@ def junk_dimension(spark: SparkSession, flags: dict[str, list]) -> DataFrame:
     """Every combination of the flags' values; they are few by declaration."""
     frames = [spark.createDataFrame([(v,) for v in values], [name]) for name, values in flags.items()]
     return reduce(DataFrame.crossJoin, frames)
+
+
+def junk_spec(name: str, **flags: list):
+    """A named junk dimension: a class whose ``rows(spark)`` are all combinations, with a key, and whose ``flags`` they come from."""
+
+    def rows(spark: SparkSession) -> DataFrame:
+        """id (from 1, in the order of the flags' values) and the flags."""
+        out, sizes = junk_dimension(spark, flags), [len(v) for v in flags.values()]
+        place = F.lit(0)
+        for (flag, values), _ in zip(flags.items(), sizes, strict=True):
+            place = place * len(values) + F.array_position(F.array(*(F.lit(v) for v in values)), F.col(flag)) - 1
+        return out.select((place + 1).cast("bigint").alias("id"), *flags)
+
+    return type(name, (), {"flags": flags, "rows": staticmethod(rows), "__doc__": f"Junk dimension of {', '.join(flags)}."})
+
+
+class Tree:
+    """A hierarchy that answers alike whatever it is held as: parent keys, closure rows or materialised paths."""
+
+    def __init__(self, nodes: DataFrame, key: str, *, parent: str | None = None, path: str | None = None, links: DataFrame | None = None):
+        if sum(x is not None for x in (parent, path, links)) != 1:
+            raise SchemaError("a tree is held as parent keys, as paths or as closure rows: name one")
+        self.nodes, self.key = nodes, key
+        self.strategy = "adjacency" if parent is not None else "path" if path is not None else "closure"
+        self._links = links if links is not None else adjacency_closure(nodes, key, parent) if parent is not None else closure(nodes, key, path)
+
+    def links(self) -> DataFrame:
+        return self._links
+
+    def ancestors(self, of: DataFrame, max_depth: int | None = None) -> DataFrame:
+        """(ancestor, descendant, depth) above the nodes in ``of`` (descendant)."""
+        out = self._links.filter("depth > 0").join(of.select("descendant"), "descendant", "left_semi")
+        return out if max_depth is None else out.filter(F.col("depth") <= max_depth)
+
+    def descendants(self, of: DataFrame, max_depth: int | None = None) -> DataFrame:
+        """(ancestor, descendant, depth) below the nodes in ``of`` (ancestor)."""
+        out = self._links.filter("depth > 0").join(of.select("ancestor"), "ancestor", "left_semi")
+        return out if max_depth is None else out.filter(F.col("depth") <= max_depth)
+
+    def level(self, n: int) -> DataFrame:
+        """(ancestor) nodes of a level, 0 being the roots."""
+        return self._links.groupBy(F.col("descendant").alias("ancestor")).agg(F.max("depth").alias("_d")).filter(F.col("_d") == n).select("ancestor")
+
+    def rollup(self, facts: DataFrame, on: str, level: int, value: Column) -> DataFrame:
+        """(ancestor, total) at and below each node of a level."""
+        return closure_rollup(facts, self._links, on, self.level(level), value)

@@ -6,14 +6,16 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import SemanticError
+from ..errors import GrainCompatibilityError, SemanticError
 from .expr import AggRef, And, Not, Or, Pred, PropRef, WinRef, dotted, pred, refs, scoped
 from .paths import Hop, PathAgg, PathPred, aliased, flatten, path_preds
+from .temporal import TimeWindow
 
 
 @dataclass(frozen=True)
@@ -26,6 +28,7 @@ class SemiAdditive:
     order: str | None = None
 
     def sql(self, group: list[str]) -> str:
+        # without a group a sum would run over the forbidden columns too
         if set(group) & set(self.forbidden) or not group:
             if self.fallback == "last":
                 if not self.order:
@@ -56,6 +59,8 @@ class Query:
         self._limit: int | None = None
         self._distinct = False
         self._fks: dict[tuple[str, str], list[tuple[str, str]]] = {}
+        self._additive: dict[str, bool] = {}
+        self._trims: list[tuple[str, str, DataFrame]] = []
 
     # band 1
     def anchor(self, table, alias: str) -> Query:
@@ -93,6 +98,23 @@ class Query:
         self._as_of, self._strict = (ts, valid_from, valid_to), strict
         return self
 
+    def measures(self, additive: dict[str, bool]) -> Query:
+        """Which measures (alias.column) may be summed; a sum of one that may not is refused."""
+        self._additive |= additive
+        return self
+
+    def facts(self, grains: dict[str, str | None]) -> Query:
+        """Declared grains of the facts that are joined (None: no claim); different ones are refused."""
+        known = {t: g for t, g in grains.items() if g is not None}
+        if len(set(known.values())) > 1:
+            raise GrainCompatibilityError("facts of different grains: " + ", ".join(f"{t} ({g})" for t, g in sorted(known.items())))
+        return self
+
+    def trim(self, src: str, dst: str, edges: DataFrame) -> Query:
+        """Keep rows whose (src, dst) columns are among edges (src, dst), such as ``graph.trim_*`` leave."""
+        self._trims.append((src, dst, edges))
+        return self
+
     def cross_join(self, table, alias: str) -> Query:
         """Every row with every row of a small relation."""
         self._joins.append((table, alias, "", "cross", False))
@@ -141,6 +163,11 @@ class Query:
         self._semi.append((name, rule))
         return self
 
+    def aggregate(self, by: list[str], having: Pred | str | None = None, **exprs: str) -> Query:
+        """Band 2 in one call."""
+        self.group_by(*by).agg(**exprs)
+        return self if having is None else self.having(having)
+
     def having(self, p: Pred | str) -> Query:
         p = pred(p)
         if path_preds(p) or any(isinstance(r, (PropRef, WinRef)) for r in refs(p)):
@@ -157,6 +184,10 @@ class Query:
         over = f"(PARTITION BY {partition} ORDER BY {order})" if partition else f"(ORDER BY {order})"
         return self.window(**{name: f"rank() OVER {over}"}).qualify(WinRef(name) <= top)
 
+    def temporal_agg(self, name: str, fn: str, measure: str, ts: str, window: TimeWindow, partition: tuple[str, ...] = ()) -> Query:
+        """An aggregate over the rows that a time window gives each row."""
+        return self.window(**{name: window.sql(fn, measure, ts, list(partition))})
+
     def ntile_bucket(self, measure: str, n: int, alias: str) -> Query:
         return self.window(**{alias: f"ntile({n}) OVER (ORDER BY {measure})"})
 
@@ -192,6 +223,9 @@ class Query:
             raise SemanticError("HAVING needs an aggregate")
         if self._qualify is not None and not self._windows:
             raise SemanticError("QUALIFY needs a window")
+        for m, additive in self._additive.items():
+            if not additive and any(re.search(rf"\bsum\s*\(\s*(distinct\s+)?{re.escape(m)}\s*\)", e, re.I) for e in self._aggs.values()):
+                raise SemanticError(f"{m} is not additive; take its average, least or greatest value")
 
     def signature(self) -> tuple:
         """What two queries must share for their conditions alone to tell them apart."""
@@ -202,7 +236,7 @@ class Query:
         for table, alias, on, how, verb in self._joins:
             right = aliased(env(table), alias)
             if how == "cross":
-                df = df.crossJoin(F.broadcast(right))
+                df = df.crossJoin(right)  # broadcast where its size is under Spark's threshold
                 continue
             if self._as_of and verb:
                 ts, since, until = self._as_of
@@ -234,6 +268,9 @@ class Query:
             return t if isinstance(t, DataFrame) else tables(t) if callable(tables) else tables[t]
 
         df = self._filtered(self.joined(env), env)
+        for src, dst, edges in self._trims:
+            kept = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")).distinct()
+            df = df.join(kept, [F.expr(scoped(src)) == F.col("_src"), F.expr(scoped(dst)) == F.col("_dst")], "left_semi")
         for p in self._path_aggs:
             df = p.joined(df, env)
         if self._columns:
@@ -245,7 +282,7 @@ class Query:
             names = [n for _, n in self._group]
             df = df.groupBy(keys).agg(*(F.expr(scoped(e)).alias(n) for n, e in aggs.items())) if aggs else df.select(keys).distinct()
             # band 3 sees groups and aggregates by name; an aggregate repeated there means its column
-            again = {scoped(e).replace(" ", "").lower(): n for n, e in aggs.items()} | {scoped(c).replace(" ", "").lower(): n for c, n in self._group}
+            again = {scoped(e).lower(): n for n, e in aggs.items()} | {scoped(c).lower(): n for c, n in self._group}
             if self._having is not None:
                 df = df.filter(self._having.column())
             named = lambda e: _by_name(scoped(e), again)
@@ -263,6 +300,37 @@ class Query:
             df = df.orderBy(*(F.expr(o.rsplit(" ", 1)[0]).desc() if o.lower().endswith(" desc") else F.expr(o).asc() for o in self._order))
         return df.limit(self._limit) if self._limit is not None else df
 
+    def to_sql(self) -> str:
+        """The query as SQL over tables of the anchor's and hops' names (which must be names then)."""
+        self.validate()
+        joins = "".join(f" CROSS JOIN {t} {a}" if how == "cross" else f" {how.upper()} JOIN {t} {a} ON {on}" for t, a, on, how, _ in self._joins)
+        names = [self._anchor, *(t for t, *_ in self._joins)]
+        if not all(isinstance(t, str) for t in names):
+            raise SemanticError("a frame without a name has no SQL")
+        where = f" WHERE {condition_sql(self._where)}" if self._where is not None else ""
+        if self._path_aggs or self._as_of or self._trims:
+            raise SemanticError("path aggregates, as-of joins and trims run as frames only")
+        body = f"FROM {self._anchor} {self._alias}{joins}{where}"
+        extra = "".join(f", {e} AS {n}" for n, e in self._columns.items())
+        if self._group or self._aggs or self._semi:
+            group = [c for c, _ in self._group]
+            aggs = self._aggs | {n: r.sql(group) for n, r in self._semi}
+            shown = ", ".join([*(f"{c} AS {n}" for c, n in self._group), *(f"{e} AS {n}" for n, e in aggs.items())])
+            sql = f"SELECT {shown} {body}" + (f" GROUP BY {', '.join(group)}" if group else "")
+            if self._having is not None:
+                sql = f"SELECT * FROM ({sql}) AS g WHERE {condition_sql(self._having)}"
+            again = {e.lower(): n for n, e in aggs.items()} | {c.lower(): n for c, n in self._group}
+            if self._windows:
+                sql = f"SELECT *, {', '.join(f'{_by_name(e, again)} AS {n}' for n, e in self._windows.items())} FROM ({sql}) AS a"
+        else:
+            sql = f"SELECT *{extra}" + "".join(f", {e} AS {n}" for n, e in self._windows.items()) + f" {body}"
+        if self._qualify is not None:
+            sql = f"SELECT * FROM ({sql}) AS w WHERE {condition_sql(self._qualify)}"
+        sql = sql.replace("SELECT", "SELECT DISTINCT", 1) if self._distinct else sql
+        if self._order:
+            sql += f" ORDER BY {', '.join(self._order)}"
+        return sql if self._limit is None else f"{sql} LIMIT {self._limit}"
+
     def _projected(self, df: DataFrame) -> DataFrame:
         """Own names where they are unique, alias_name where not."""
         bare = [c.partition("__")[2] or c for c in df.columns]
@@ -270,13 +338,32 @@ class Query:
 
 
 def _by_name(sql: str, names: dict[str, str]) -> str:
-    flat = sql
-    for e, n in sorted(names.items(), key=lambda x: -len(x[0])):
-        at = flat.replace(" ", "").lower().find(e)
-        if at >= 0 and (e in flat.lower()):
-            i = flat.lower().find(e)
-            flat = flat[:i] + n + flat[i + len(e) :]
-    return flat
+    """The SQL with each expression that is one of ``names``, as whole tokens, replaced by its name."""
+    token = re.compile(r"'(?:[^']|'')*'|\w+|\S")
+    known = sorted(((token.findall(e), n) for e, n in names.items()), key=lambda x: -len(x[0]))
+    found = token.findall(sql)
+    low, out, at = [t if t[0] == "'" else t.lower() for t in found], [], 0
+    while at < len(found):
+        hit = next(((e, n) for e, n in known if e and low[at : at + len(e)] == e and not (at and low[at - 1] == ".")), None)
+        out.append(hit[1] if hit else found[at])
+        at += len(hit[0]) if hit else 1
+    return re.sub(r"\s*([.,()])\s*", lambda m: m[1] + (" " if m[1] in ",)" else ""), " ".join(out)).replace("( ", "(")
+
+
+def condition_sql(p: Pred) -> str:
+    """A predicate as SQL; paths become EXISTS and NOT EXISTS."""
+    if isinstance(p, And | Or):
+        return "(" + f" {p.word} ".join(condition_sql(a) for a in p.args) + ")"
+    if isinstance(p, Not):
+        return f"NOT ({condition_sql(p.arg)})"
+    if not isinstance(p, PathPred):
+        return p.text()
+    first, *rest = flatten(p.path)
+    inner = f"SELECT 1 FROM {first.table} {first.alias}" + "".join(f" JOIN {h.table} {h.alias} ON {h.on}" for h in rest) + f" WHERE {first.on}"
+    told = None if p.where is None else condition_sql(pred(p.where))
+    if p.quantifier == "FORALL":
+        return "TRUE" if told is None else f"NOT EXISTS ({inner} AND NOT COALESCE({told}, FALSE))"
+    return f"EXISTS ({inner}{'' if told is None else f' AND {told}'})"
 
 
 def conjuncts(p: Pred) -> list[Pred]:
