@@ -178,6 +178,15 @@ class TrieEncoder:
         last, begins, states, before = [-1], [0], [0], b""
         for path, word in sorted((w.encode("utf-8"), w) for w in words):
             size, shared = len(path), min(len(before), len(path))
+            if shared > 32 and before[:shared] != path[:shared]:  # halving: long words without a common beginning
+                least = 0
+                while shared - least > 1:
+                    middle = (least + shared) // 2
+                    if before[:middle] == path[:middle]:
+                        least = middle
+                    else:
+                        shared = middle
+                shared = least
             while before[:shared] != path[:shared]:
                 shared -= 1
             del last[shared + 1 :], begins[shared + 1 :], states[shared + 1 :]
