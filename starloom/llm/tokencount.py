@@ -6,9 +6,9 @@ pre-tokens it touches and those before it whose match looked at changed characte
 and pre-tokenises from there until a boundary falls on an old one again.  Only those
 pre-tokens are encoded, and only sums on the way up change.
 
-Defined results: null text is empty (one edit rule may still not match it); edits of
-one document must not overlap and are given in the text's own positions; repeated
-rows are counted alike; an empty table gives an empty result.
+Defined results: null text is empty, and so are null edits; edits are given in the
+text's own positions, those outside it are cut to it, and of overlapping ones the first
+holds; repeated rows are counted alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -111,9 +111,16 @@ class CountTree:
                 self._put(i, self.leaves[i][m:], sum(map(self.count, gone[used : used + m])), 0)
             used += m
         if len(self.leaves[first]) > 64 * LEAF:
-            encoded = self.encoded
-            self.__init__(self.text(), self.split, self.count)
-            self.encoded = encoded
+            self._spread()
+
+    def _spread(self) -> None:
+        """Deal the pre-tokens out to leaves anew.  Nothing is split or encoded: only sums of known counts are made.
+
+        A leaf gets here after 63 * LEAF insertions, so that each insertion's share of this is small.
+        """
+        encoded, tokens = self.encoded, [t for leaf in self.leaves for t in leaf]
+        self.__init__("", self.split, self.count, tokens)
+        self.encoded = encoded
 
     def _meets(self, changed: str, begin: int, stop: int, shift: int, ends: list[int], done: bool):
         """New pre-tokens up to the first new boundary that is an old one behind the edit, and how many old ones they replace."""
@@ -135,15 +142,25 @@ class CountTree:
 
 def rule_edits(text: str, rules: Iterable[tuple[regex.Pattern, str]]) -> list[tuple[int, int, str]]:
     """Edits of all rules' matches, from left to right; of overlapping ones the first."""
-    found = sorted((m.start(), m.end(), new) for p, new in rules for m in p.finditer(text))
+    return apart((m.start(), m.end(), new) for p, new in rules for m in p.finditer(text) if m.end() > m.start())
+
+
+def apart(edits: Iterable[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The edits from left to right, without those that overlap one before them (insertions at one place all stay)."""
     out, at = [], 0
-    for s, e, new in found:
-        if s >= at and e > s:
+    for s, e, new in sorted(edits):
+        if s >= at:
             out.append((s, e, new))
             at = e
     return out
 
 
+def given_edits(text: str, edits) -> list[tuple[int, int, str]]:
+    """Edits that come with a row, cut to the text."""
+    inside = lambda x: min(max(x or 0, 0), len(text))
+    return apart((inside(e["start"]), max(inside(e["start"]), inside(e["stop"])), e["replacement"] or "") for e in edits or [] if e)
+
+
 def edited_counts(docs: DataFrame, tokenizer: str, rules: list[tuple[str, str]] | None = None, edits: str | None = None, key: str = "doc_id") -> DataFrame:
     """key, n_tokens, n_edits, n_tokens_edited, n_pretokens, n_reencoded, edited_sha256.
 
@@ -167,7 +184,7 @@ def edited_counts(docs: DataFrame, tokenizer: str, rules: list[tuple[str, str]]
                 for text, own, tokens in zip(texts, given, split, strict=True):
                     tree = CountTree(text, enc.pieces, sizes.__getitem__, tokens)
                     n, pre = tree.total, sum(map(len, tree.leaves))
-                    todo = [(e["start"], e["stop"], e["replacement"]) for e in own or []] if edits else rule_edits(text, compiled)
+                    todo = given_edits(text, own) if edits else rule_edits(text, compiled)
                     for start, stop, new in sorted(todo, reverse=True):
                         tree.replace(start, stop, new)
                     rows.append((n, len(todo), tree.total, pre, tree.encoded, hashlib.sha256(tree.text().encode()).hexdigest()))
