@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).cast("double").alias("_y"))
     n = known.count()
     share = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, sample / max(n, 1)))
-    rows = docs.select(key, "text").join(known.filter(share), key)
+    rows = docs.select(key, "text").join(F.broadcast(known.filter(share)), key)  # about ``sample`` keys
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("_y", T.DoubleType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
     small_batches(docs.sparkSession)
     got = _arrow(rows, key, lambda base, x: [pa.array(list(x), pa.list_(pa.float64()))], schema, [key, "_y"]).collect()
