@@ -11,8 +11,11 @@ in groups of at most ``GROUP`` bytes; with several groups a task scores ``GATHER
 of texts at a time against one group after another, so that no worker holds more than one
 group of each order.
 
-score: sum of log10 P(w | v), with P = LAMBDA * count(v w) / count(v) + (1 - LAMBDA) * P(w)
-from the held counts; a word that the filter lacks counts as half an occurrence.
+score: sum of log10 P(w | v), with P(w | v) = LAMBDA * count(v w) / count(v) + (1 - LAMBDA) * P(w)
+and P(w) = count(w) / (N + 1/2), or 1/2 / (N + 1/2) for a word that the filter lacks.  A count
+above stands at the lower end of its level and one below at the upper end, so that what
+quantisation loses is lost from the probabilities: those of all words after a word add up
+to 1 at most (but for the filter's false answers).
 
 base_score needs exact counts of all words.  Frequent words (``FLOOR`` times the training
 tokens or more, at most 1 / FLOOR) are looked up in a broadcast table; the others, of which no word is frequent, are joined
@@ -99,6 +102,16 @@ def middle(level: np.ndarray, least: float = 1.0) -> np.ndarray:
     return np.where(level > 0, least * STEP ** (level - 0.5), 0.0)
 
 
+def lower(level: np.ndarray) -> np.ndarray:
+    """The least count of a level (0 if none)."""
+    return np.where(level > 0, np.ceil(STEP ** (level - 1.0) - 1e-6), 0.0)
+
+
+def upper(level: np.ndarray) -> np.ndarray:
+    """The greatest count of a level (0 if none)."""
+    return np.where(level > 0, np.ceil(STEP**level - 1e-6) - 1, 0.0)
+
+
 def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     """The partition, of so many, into which Spark's shuffle deals each key as a bigint."""
     h = np.full(len(keys), 42, np.uint32)
@@ -171,8 +184,8 @@ class Held:
             rows = list(zip(*(t.column(i).to_pylist() for i in range(4)), strict=True))
             self.groups.append((low, high, spark.sparkContext.broadcast(Group(low, high, rows))))
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The middle of the level each key reaches (0 if none)."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level each key reaches (0 if none)."""
         block, level = block_of(keys, self.blocks), np.zeros(len(keys), np.int64)
         for low, high, group in self.groups:
             own = np.flatnonzero((block >= low) & (block < high))
@@ -180,7 +193,7 @@ class Held:
                 level[own] = group.value.levels(keys[own], block[own])
                 if len(self.groups) > 1:
                     group.__dict__.pop("_value", None)  # the next group takes its place
-        return middle(level)
+        return level
 
 
 def gathered(batches, least: int):
@@ -257,9 +270,9 @@ class Model:
 
     def score(self, single: Held, pairs: Held, words: np.ndarray, before: np.ndarray, inverse: np.ndarray, distinct: np.ndarray) -> np.ndarray:
         """log10 P of each token; ``distinct`` and ``inverse`` are np.unique of the words."""
-        known = single.counts(np.append(distinct, END))
-        one, end = known[:-1], known[-1]
-        alone = (np.where(one > 0, one, 0.5) / max(self.tokens, 1))[inverse]
+        known = single.levels(np.append(distinct, END))
+        one, end = upper(known[:-1]), upper(known[-1:])[0]
+        alone = (np.where(one > 0, lower(known[:-1]), 0.5) / (self.tokens + 0.5))[inverse]
         at = np.minimum(np.searchsorted(distinct, before), len(distinct) - 1)
         context = np.where(distinct[at] == before, one[at], 0.0)
         context[before == BEGIN] = end  # a text begins as often as it ends
@@ -267,7 +280,7 @@ class Model:
         live = np.flatnonzero((context > 0) & (one > 0)[inverse])
         if len(live):
             different, back = np.unique(pair_hashes(before[live], words[live]), return_inverse=True)
-            pair[live] = pairs.counts(different)[back]
+            pair[live] = lower(pairs.levels(different))[back]
         share = np.minimum(pair / np.maximum(context, 1e-9), 1.0)
         return np.log10(np.maximum(np.where(context > 0, LAMBDA * share + (1 - LAMBDA) * alone, alone), 1e-30))
 
