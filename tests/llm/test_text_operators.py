@@ -79,6 +79,53 @@ def test_edit_aware_counts():
         assert tree.total == sum(map(e.size, e.pieces(text)))
 
 
+def test_long_insertions_and_odd_edits(spark):
+    e = bpe.encoder(PATH)
+    tree = tokencount.CountTree("start here and go on", e.pieces, e.size)
+    new = " word" * 5000
+    tree.replace(5, 5, new)
+    text = "start" + new + " here and go on"
+    assert tree.text() == text and tree.total == sum(map(e.size, e.pieces(text))) and 5000 <= tree.encoded <= 5010 and len(tree.leaves) > 100
+    rows = [(1, "abcdef", [(1, 3, "X"), (2, 5, "Y"), (4, 99, "Z")]), (2, "abc", None), (3, None, [(0, 4, "new")]), (4, "abc", [(-5, 1, None), None])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, edits array<struct<start: int, stop: int, replacement: string>>")
+    got = {r.doc_id: r.edited_sha256 for r in tokencount.edited_counts(df, PATH, edits="edits").collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in ((1, "aXdZ"), (2, "abc"), (3, "new"), (4, "bc"))}
+
+
+def test_long_words_without_common_beginnings():
+    t, enc = tokenizers.Tokenizer.from_file(str(PATH)), bpe.TrieEncoder(bpe.Vocabulary(PATH))
+    words = ["".join(RND.choice("漢字仮名交") for _ in range(n)) for n in (40, 41, 3000, 20_000)] + ["漢" * 33, "漢" * 34 + "字"]
+    for s, p in zip(words, enc.encode(words), strict=True):
+        assert np.frombuffer(p, "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
+
+
+def test_flattened_trees_are_the_trees():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    f = quality.grow(x, (x[:, 0] - x[:, 2] > 0).astype(float), [1, 0, -1], trees=20)
+
+    def walk(row):
+        total = f.bias
+        for at in f.roots:
+            while f.left[at] != at:
+                at = f.left[at] if row[f.feature[at]] <= f.cut[at] else f.right[at]
+            total += f.value[at]
+        return total
+
+    assert np.allclose(f.score(x), [walk(r) for r in x])
+
+
+def test_folded_tables_are_the_network():
+    rng = np.random.default_rng(6)
+    net = langid.ByteConvNet(["a", "b", "c"])
+    x = rng.integers(0, 256, (8, langid.WINDOW), dtype=np.uint8)
+    pooled, _ = net._forward(x)
+    z = pooled @ net.w["o"] + net.w["c"]
+    want = np.exp(z - z.max(1, keepdims=True))
+    want /= want.sum(1, keepdims=True)
+    assert np.abs(net.folded().probabilities(x.T) - want).max() < 1e-3
+
+
 def test_edited_counts_of_documents(docs, rows, nothing):
     t = tokenizers.Tokenizer.from_file(str(PATH))
     for r in tokencount.edited_counts(docs, PATH, [(r"\$+", ""), (r"the", "THE")]).collect():
@@ -256,16 +303,21 @@ def test_lm_score_holds_all_n_grams(docs, rows, monkeypatch, group):
     two = collections.Counter(x for ws in known for x in zip([False, *ws], ws))
     n = sum(one.values())
     one[False] = one[None]
-    level = lambda c: 1.5 ** (math.floor(math.log(c) / math.log(1.5) + 1e-9) + 0.5) if c else 0
+    level = lambda c: math.floor(math.log(c) / math.log(1.5) + 1e-9)
+    low = lambda c: min(x for x in range(1, c + 1) if level(x) == level(c)) if c else 0
+    high = lambda c: max(x for x in range(c, 2 * c + 2) if level(x) == level(c)) if c else 0
     off, total = [], 0
     for i, ws in texts:
         want = 0
         for v, w in zip([False, *ws], ws):
-            alone, context = (level(one[w]) or 0.5) / n, level(one[v])
-            want += math.log10(0.7 * min(1, level(two[v, w]) / context) + 0.3 * alone if context else alone)
+            alone, context = (low(one[w]) or 0.5) / (n + 0.5), high(one[v])
+            want += math.log10(0.7 * low(two[v, w]) / context + 0.3 * alone if context else alone)
         off.append(abs(got[i].score - want))
         total += len(ws)
     assert np.median(off) < 1e-6 and sum(off) < 0.01 * total
+    for v in ("the", *list(one)[:20]):  # probabilities after a word add up to 1 at most
+        after = sum(0.7 * low(c) / high(one[v]) for (a, _), c in two.items() if a == v) if one[v] else 0
+        assert after + 0.3 * (sum(low(c) for w, c in one.items() if w is not False) + 0.5) / (n + 0.5) <= 1 + 1e-9
 
 
 def test_blocks_are_sparks_partitions(spark):
