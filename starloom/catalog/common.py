@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
-    return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def read(name: str) -> DataFrame:
+        path = f"{sf_dir}/{name}.parquet"
+        if path not in _schemas:
+            _schemas[path] = spark.read.parquet(path).schema
+        return spark.read.schema(_schemas[path]).parquet(path)
+
+    return read
+
+
+#: Schemas of tables that have been read, by path: looking one up costs a job.
+_schemas: dict = {}
 
 
 class Topic:

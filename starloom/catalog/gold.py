@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import transforms
+from ..functions import columns, transforms
 from ..plans import observatory, retail
 from ..sources import readers
 from ..streaming import apply as streams
@@ -140,21 +140,22 @@ def json_props_extract(t):
 @T.query("SELECT l_orderkey, len(a) AS n, a[1] AS first_part, a[-1] AS last_part, CAST(list_sum(list_transform(a, lambda x: x % 7)) AS BIGINT) AS total, list_contains(a, 5) AS has_five FROM (SELECT l_orderkey, list(l_partkey ORDER BY l_partkey) AS a FROM lineitem GROUP BY 1)")
 def array_functions(t):
     """On the parts of each order (an order has few lines)."""
-    a = t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_partkey")).alias("a"))
-    total = F.aggregate(F.transform("a", lambda x: x % 7), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return a.select("l_orderkey", F.size("a").cast("bigint").alias("n"), F.element_at("a", 1).alias("first_part"), F.element_at("a", -1).alias("last_part"), total.alias("total"), F.array_contains("a", F.lit(5).cast("bigint")).alias("has_five"))
+    a = columns.listed(t("lineitem"), ["l_orderkey"], "l_partkey", "l_partkey", "a")
+    total = columns.list_sum(F.transform("a", lambda x: x % 7)).cast("bigint")
+    five = F.array_contains("a", F.lit(5).cast("bigint"))
+    return a.select("l_orderkey", columns.list_count("a").alias("n"), columns.list_first("a").alias("first_part"), columns.list_last("a").alias("last_part"), total.alias("total"), five.alias("has_five"))
 
 
 @T.query("SELECT event_id, CAST(bit_count(event_id) AS BIGINT) AS bits, event_id & 255 AS low, event_id << 3 AS shifted FROM events")
 def bit_functions(t):
     i = F.col("event_id")
-    return t("events").select("event_id", F.bit_count(i).cast("bigint").alias("bits"), i.bitwiseAND(255).alias("low"), F.shiftleft(i, 3).alias("shifted"))
+    return t("events").select("event_id", columns.bits_set(i).alias("bits"), i.bitwiseAND(255).alias("low"), F.shiftleft(i, 3).alias("shifted"))
 
 
 @T.query("SELECT o_orderkey, year(o_orderdate) AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m, day(o_orderdate) AS d, week(o_orderdate) AS w, isodow(o_orderdate) - 1 AS dow, datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS since FROM orders")
 def date_parts(t):
     c = F.col("o_orderdate")
-    parts = {"y": F.year(c), "q": F.quarter(c), "m": F.month(c), "d": F.dayofmonth(c), "w": F.weekofyear(c), "dow": F.weekday(c), "since": F.date_diff(F.to_date(c), F.lit("1995-01-01").cast("date"))}
+    parts = {"y": F.year(c), "q": F.quarter(c), "m": F.month(c), "d": F.dayofmonth(c), "w": F.weekofyear(c), "dow": F.weekday(c), "since": columns.days_between(F.lit("1995-01-01"), c)}
     return t("orders").select("o_orderkey", *(v.cast("bigint").alias(n) for n, v in parts.items()))
 
 

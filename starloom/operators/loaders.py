@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import numbered
 from .scd import same_key
 
 
@@ -88,13 +89,11 @@ def resolve(facts: DataFrame, dim: DataFrame, pairs: list[tuple[str, str]], sk:
 
 def infer_members(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, sk: str, as_of: str) -> DataFrame:
     """The dimension with inferred rows for keys that only facts have, numbered on in key order."""
-    from pyspark.sql import Window as W
-
     missing = facts.select(F.col(fact_key).alias(dim_key)).filter(F.col(dim_key).isNotNull()).distinct().join(dim.select(dim_key), dim_key, "left_anti")
     top = dim.agg(F.coalesce(F.max(sk), F.lit(0)).alias("_top"))
     kind = {f.name: f.dataType for f in dim.schema.fields}
-    given = {sk: (F.col("_top") + F.row_number().over(W.orderBy(dim_key))).cast(kind[sk]), dim_key: F.col(dim_key), "is_current": F.lit(True), "is_inferred": F.lit(True), "valid_from": F.lit(as_of).cast("timestamp_ntz")}
-    new = missing.crossJoin(F.broadcast(top)).select(*((given[c] if c in given else F.lit(None)).cast(kind[c]).alias(c) for c in dim.columns))
+    given = {sk: (F.col("_top") + F.col("_n")).cast(kind[sk]), dim_key: F.col(dim_key), "is_current": F.lit(True), "is_inferred": F.lit(True), "valid_from": F.lit(as_of).cast("timestamp_ntz")}
+    new = numbered(missing, [dim_key], "_n").crossJoin(F.broadcast(top)).select(*((given[c] if c in given else F.lit(None)).cast(kind[c]).alias(c) for c in dim.columns))
     return dim.unionByName(new)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import SCDError
+from .numbering import numbered
 
 AUDIT = ("checksum", "is_current", "valid_from", "valid_to")
 
@@ -151,10 +152,9 @@ def upsert_profiles(mini: DataFrame, batch: DataFrame, profile: list[str], sk: s
     """The mini-dimension with the batch's missing combinations added, numbered on from its largest key in column order."""
     missing = batch.select(*profile).distinct().alias("b").join(mini.alias("m"), same_key(profile, "b", "m"), "left_anti")
     top = mini.agg(F.coalesce(F.max(sk), F.lit(0)).alias("_top"))
-    # new combinations of a mini-dimension are few by design; the numbering is one ordered pass over them alone
-    numbered = missing.select(*profile, F.row_number().over(W.orderBy(*profile)).alias("_n")).crossJoin(F.broadcast(top))
+    new = numbered(missing.select(*profile), profile, "_n").crossJoin(F.broadcast(top))  # one row
     kind = mini.schema[sk].dataType
-    return mini.select(sk, *profile).unionByName(numbered.select((F.col("_top") + F.col("_n")).cast(kind).alias(sk), *profile))
+    return mini.select(sk, *profile).unionByName(new.select((F.col("_top") + F.col("_n")).cast(kind).alias(sk), *profile))
 
 
 def scd4(mini: DataFrame, base: DataFrame, batch: DataFrame, nk: list[str], profile: list[str], tracked: list[str], as_of: str, sk: str = "id", fk: str = "profile_sk") -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.errors import ContractError, LoadError, SemanticError, TransformTypeError
-from starloom.functions import transforms
+from starloom.functions import columns, transforms
 from starloom.operators import contracts
 from starloom.operators.algebra import QuestionAlgebra
 from starloom.sources import readers
@@ -45,6 +45,14 @@ def test_transforms(people):
             transforms.apply(people, [transforms.on(wrong).upper()])
 
 
+def test_column_functions(spark):
+    df = spark.sql("select array(3, 1, null) as a, cast(null as array<int>) as n, timestamp_ntz'2024-01-31 23:00:00' as x, timestamp_ntz'2024-04-01' as y, 'k7' as s, 6 as b")
+    c = columns
+    row = df.select(c.list_first("a"), c.list_last("a"), c.list_count("n"), c.list_sum("a"), c.list_appended("n", "b"), c.days_between("x", "y"), c.units_between("quarter", "x", "y"), c.units_between("year", "x", "y"), c.try_cast("s", "int"), c.bits_set("b"), c.bit_is_set("b", 1), c.matches("s", "[0-9]$"), c.formatted("%s-%03d", "s", "b"), c.differs(F.lit(None), F.lit(None)), c.int_range(2, 4), c.int_range(2, 2)).first()
+    assert tuple(row) == (3, None, 0, 4.0, [6], 61, 1, 0, None, 2, True, True, "k7-006", False, [2, 3], []) and c.bit_mask(1, 2, 2) == 6
+    assert [tuple(r) for r in c.unnested(df.select("s", "a"), "a", "v", "i").collect()] == [("k7", 1, 3), ("k7", 2, 1), ("k7", 3, None)]
+
+
 def test_contracts(people):
     rules = [contracts.not_null("name"), contracts.no_duplicates("id"), contracts.column_exists("id"), contracts.type_match("id", "string")]
     assert {r.rule: r.violations for r in contracts.report(people, rules).collect()} == {"NOT_NULL": 1, "NO_DUPLICATES": 1, "TYPE_MATCH": 1}
