@@ -13,11 +13,13 @@ the link bound 100 |A & B| >= p |A | B| is
 1. Members with s <= (100 - p) t are linked with the leader.  Two members with c = 0
    can be linked only if both of them are, so they are in one component then.
 2. What is left are pairs of different components, of which one member is not in the
-   leader's, that share elements of their differences.  An element counts only if members
-   of different components hold it.  With r such elements a member needs a partner with
-   s_a + s_b - (100 + p) min(r_a, r_b) <= (100 - p) t; members without any go.
-3. The others meet by prefix filtering: a link has at least so many elements in
-   common, so the rarest ones of both (all but that many, less one) share one.
+   leader's, that share elements of their differences.  With r elements a member needs a
+   partner with s_a + s_b - (100 + p) min(r_a, r_b) <= (100 - p) t, and a link has at least
+   so many elements in common that the first ones of both, in any order that is the same
+   for all (all but that many, plus n), share n.  Extra elements come first, as most are
+   a member's own; members go of whose first ones too few are those of other components'.
+3. Of the others' elements those count that members of different components hold.  By
+   their number members go as before, and the others meet by their rarest ones.
 4. Pairs that meet are decided by the formula on their whole differences.
 
 First the leader gives way to a member nearer to the middle of its frame, and members
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import like
@@ -38,6 +40,10 @@ from .common import like
 BLOCK, ROUNDS = 1000, 1
 #: Frames with fewer members outside get no further leader.
 GATHER = 24
+#: About so many members of a frame tell its middle (it only chooses leaders: results don't depend on it).
+MIDDLE = 200
+#: Elements that two linked members share among their first ones (all, if a link needs fewer).
+SHARED = 8
 #: Bins of s, FINE to the link bound, in which the best partners are kept; the last is open.
 BINS, FINE = 1024, 64
 
@@ -71,7 +77,7 @@ def led_again(outside: DataFrame, kept) -> DataFrame:
 
 
 def differences(frames: DataFrame, sets: DataFrame, percent: int, kept) -> DataFrame:
-    """lead, id, score, t, s, d (sorted elements of M and E) for each row of ``frames``; ``sets`` has id and s (sorted hashes)."""
+    """lead, id, score, t, s, d (sorted elements of E, then those of M) for each row of ``frames``; ``sets`` has id and s (sorted hashes)."""
     parts = kept(frames.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "parts")
     own = frames.join(parts, "lead").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
     own = own.join(sets, "id")
@@ -82,11 +88,10 @@ def differences(frames: DataFrame, sets: DataFrame, percent: int, kept) -> DataF
             t, s, d = [], [], []
             for x, y in zip(like(batch, "s"), like(batch, "of_lead"), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                diff = np.setxor1d(a, b, assume_unique=True)
-                both = (len(a) + len(b) - len(diff)) // 2
+                extra, missing = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
                 t.append(len(b))
-                s.append(100 * (len(b) - both) + percent * (len(a) - both))
-                d.append(diff.view(np.int64))
+                s.append(100 * len(missing) + percent * len(extra))
+                d.append(np.concatenate([extra, missing]).view(np.int64))
             yield pa.RecordBatch.from_arrays([*(like(batch, c) for c in ("lead", "id", "score")), pa.array(t, pa.int64()), pa.array(s, pa.int64()), pa.array(d, pa.list_(pa.int64()))], ["lead", "id", "score", "t", "s", "d"])
 
     together = own.join(of_lead, ["lead", "block"]).select("lead", "id", "score", "s", "of_lead")
@@ -97,17 +102,19 @@ def recentred(diff: DataFrame, sets: DataFrame, percent: int, kept) -> DataFrame
     """``diff`` with a leader nearer to the middle for frames of which a part, not most, is outside.
 
     The middle of a frame has what most members have.  Elements that more than half of
-    the differences hold lead from the leader to it; the member whose difference has most
-    of these and little else is the new leader.
+    the differences (of about MIDDLE members) hold lead from the leader to it; the member
+    whose difference has most of these and little else is the new leader.
     """
     out = F.sum((F.col("s") > F.col("t") * (100 - percent)).cast("int"))
     frames = diff.groupBy("lead").agg(F.count("*").alias("size"), out.alias("out")).filter("out > 0 and out * 4 < size * 3").select("lead", "size")
     frames = kept(frames, "uneven")
-    each = diff.join(frames, "lead").select("lead", "size", "id", F.explode("d").alias("x"))
-    most = kept(each.groupBy("lead", "x").agg(F.count("*").alias("c"), F.first("size").alias("size")).filter("c * 2 > size").select("lead", "x"), "most")
-    shared = each.join(most, ["lead", "x"]).groupBy("lead", "id").agg(F.count("*").alias("shared"))
+    some = diff.join(frames, "lead").filter(F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / MIDDLE)) == 0).select("lead", "d")
+    some = some.join(some.groupBy("lead").agg(F.count("*").alias("of")), "lead").select("lead", "of", F.explode("d").alias("x"))
+    most = some.groupBy("lead", "x").agg(F.count("*").alias("c"), F.first("of").alias("of")).filter("c * 2 > of")
+    most = kept(most.groupBy("lead").agg(F.collect_list("x").alias("most")), "most")  # twice a mean difference at most
+    shared = diff.join(most, "lead").select("lead", "id", "s", F.size(F.array_intersect("d", "most")).alias("shared"))
     worth = F.struct((F.col("s") - F.col("shared") * (100 + percent)).alias("far"), F.col("id").alias("to"))
-    moved = diff.join(shared, ["lead", "id"]).groupBy("lead").agg(F.min(worth).alias("w")).select("lead", "w.*").filter("far < 0").select("lead", "to")
+    moved = shared.groupBy("lead").agg(F.min(worth).alias("w")).select("lead", "w.*").filter("far < 0").select("lead", "to")
     moved = kept(moved, "moved")
     there = diff.join(moved, "lead").filter("id <> to").select(F.col("to").alias("lead"), "id", "score").union(moved.select(F.col("to").alias("lead"), F.col("lead").alias("id"), F.lit(0).cast("bigint").alias("score")))
     new = differences(kept(there.groupBy("lead", "id").agg(F.max("score").alias("score")), "recentred"), sets, percent, kept)
@@ -130,17 +137,14 @@ def gathered(diff: DataFrame, sets: DataFrame, percent: int, kept) -> DataFrame:
     return links
 
 
-def _pruned(rows: DataFrame, percent: int, kept) -> DataFrame:
-    """Rows (lead, id, root, out, t, s, x: elements) that may have a link: with their useful elements, rarest first, and ``least``.
+def _bounded(rows: DataFrame, percent: int, kept) -> DataFrame:
+    """Rows (lead, id, root, out, t, s, x: elements) that may have a link by the number of their elements, with ``least``.
 
     ``least`` is the number of elements that any link of the row has in common with its
     partner; ``out`` says that the row isn't in its leader's component, as one of a pair's has to be.
     """
-    each = rows.select("lead", "id", "root", F.explode("x").alias("x"))
-    useful = each.groupBy("lead", "x").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("lead", "x", "c")
-    held = each.select("lead", "id", "x").join(kept(useful, "useful"), ["lead", "x"]).groupBy("lead", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda e: e["x"]).alias("x"))
     limit, weight = F.col("t") * (100 - percent), F.lit(100 + percent)
-    live = rows.drop("x").join(held, ["lead", "id"]).withColumns({"limit": limit, "r": F.size("x").cast("bigint")})
+    live = rows.withColumns({"limit": limit, "r": F.size("x").cast("bigint")})
     live = live.withColumns({"gain": weight * F.col("r") - F.col("s"), "bin": F.least(F.floor(F.col("s") * FINE / F.greatest("limit", F.lit(1))), F.lit(BINS - 1))})
     live = kept(live, "live")
     bins = live.groupBy("lead", "bin").agg(F.max("gain").alias("gain"), F.max(F.when(F.col("out"), F.col("gain"))).alias("of_out"))
@@ -154,6 +158,24 @@ def _pruned(rows: DataFrame, percent: int, kept) -> DataFrame:
     return near.withColumn("least", least).filter("r >= least").select("lead", "id", "root", "t", "s", "limit", "r", "out", "least", "x")
 
 
+def _first(n: int) -> Column:
+    """The first elements of a row of ``_bounded``, of which a link's two members share ``n``, or all that they have in common."""
+    return F.explode(F.slice("x", F.lit(1), (F.col("r") - F.col("least") + n).cast("int"))).alias("x")
+
+
+def _pruned(rows: DataFrame, percent: int, kept) -> DataFrame:
+    """``_bounded`` rows that may have a link by the elements that other components' members have: with these, rarest first."""
+    rows = kept(_bounded(rows, percent, kept), "bounded")
+    first = kept(rows.select("lead", "id", "root", "out", _first(SHARED)), "first")
+    met = first.groupBy("lead", "x").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("out").alias("out")).filter("lo <> hi and out").select("lead", "x")
+    shared = first.join(kept(met, "met"), ["lead", "x"]).groupBy("lead", "id").agg(F.count("*").alias("shared"))
+    rows = kept(rows.join(shared, ["lead", "id"]).filter(F.col("shared") >= F.least("least", F.lit(SHARED))).drop("shared"), "meeting")
+    each = kept(rows.select("lead", "id", "root", F.explode("x").alias("x")), "elements")
+    useful = each.groupBy("lead", "x").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("lead", "x", "c")
+    held = each.select("lead", "id", "x").join(kept(useful, "useful"), ["lead", "x"]).groupBy("lead", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda e: e["x"]).alias("x"))
+    return _bounded(rows.select("lead", "id", "root", "out", "t", "s").join(held, ["lead", "id"]), percent, kept)
+
+
 def across(diff: DataFrame, roots: DataFrame, percent: int, kept) -> DataFrame:
     """Links (a, b) between members of a frame that ``roots`` (id, root) doesn't have in one component."""
     placed = diff.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -162,7 +184,7 @@ def across(diff: DataFrame, roots: DataFrame, percent: int, kept) -> DataFrame:
     mixed = kept(placed.groupBy("lead").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("lead"), "mixed")
     rows = placed.select("lead", "id", "root", "out", "t", "s", F.col("d").alias("x")).join(mixed, "lead")
     rows = kept(_pruned(rows, percent, kept), "pruned")
-    keys = rows.select("lead", "id", "root", "s", "limit", "r", "out", F.explode(F.slice("x", F.lit(1), (F.col("r") - F.col("least") + 1).cast("int"))).alias("x"))
+    keys = rows.select("lead", "id", "root", "s", "limit", "r", "out", _first(1))
     keys = kept(keys, "prefixes")
     one = keys.filter("out").select("lead", "x", *(F.col(c).alias(f"{c}_a") for c in ("id", "root", "s", "limit", "r")))
     two = keys.select("lead", "x", *(F.col(c).alias(f"{c}_b") for c in ("id", "root", "s", "r", "out")))

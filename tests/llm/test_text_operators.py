@@ -438,6 +438,41 @@ def test_frames_find_every_link(spark, tmp_path, monkeypatch, percent):
     scratch.drop()
 
 
+def generated(plan) -> int:
+    """Rows that the explodes of an executed plan made."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return generated(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return generated(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if name == "Generate" else 0
+    return own + sum(generated(plan.children().apply(i)) for i in range(plan.children().length()))
+
+
+def test_frames_lay_out_few_elements(spark):
+    """Members that share a passage with their leader, and little with one another, are told by a part of their elements."""
+    from starloom.llm import frames
+
+    made, scratch = [], setsketch.Scratch(spark)
+
+    def kept(df, label):
+        out = df.collect()
+        made.append(generated(df._jdf.queryExecution().executedPlan()))
+        return spark.createDataFrame(out, df.schema)
+
+    base = list(range(1, 61))
+    sets = [set(base)] + [{*RND.sample(base, 46), *range(1000 * i, 1000 * i + 60)} for i in range(1, 201)]
+    sets[7] = sets[9] - {9000, 9001} | {7000}
+    table = spark.createDataFrame([(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in enumerate(sets)], "id bigint, s binary")
+    grouped = spark.createDataFrame([(0, i, 1) for i in range(1, 201)], "lead bigint, id bigint, score bigint")
+    diff = scratch(frames.differences(grouped, table, 80, scratch), "d")
+    roots = spark.createDataFrame([], "id bigint, root bigint")
+    links = [(r.a, r.b) for r in frames.across(diff, roots, 80, kept).collect()]
+    assert links == [(7, 9)]
+    assert sum(made) < sum(len(r.d) for r in diff.collect())
+    scratch.drop()
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     base = prose(60)
     near, other = base.split(), prose(60)
