@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,16 +142,35 @@ class Vocabulary:
 
 
 class Sizes(dict):
-    """Tokens of each pre-token in ``pieces``; others are encoded when they are asked for."""
-
-    def __init__(self, encoder: TrieEncoder, pieces: set[str]):
-        added = encoder.v.added
-        encoder.store({w for w in pieces if w not in added} if added else set(pieces))
-        super().__init__((w, 1 if w in added else len(encoder.known[w]) // 4) for w in pieces)
-        self.encoder = encoder
+    """Tokens of each pre-token, worked out when it is learnt or asked for; keeps KEPT_WORDS or so, as the encoder does."""
+
+    def __init__(self, encoder: TrieEncoder):
+        super().__init__()
+        self.encoder, self.older = encoder, {}
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Have all of these pre-tokens at hand."""
+        if len(self) > KEPT_WORDS:
+            self.older = dict(self)
+            self.clear()
+        older, added, new = self.older, self.encoder.v.added, []
+        for piece in pieces:
+            if piece not in self:
+                if piece in older:
+                    self[piece] = older[piece]
+                elif piece in added:
+                    self[piece] = 1
+                else:
+                    new.append(piece)
+        for word, at, _, begins in self.encoder.walked(new):
+            n = 0
+            while at:
+                n += 1
+                at = begins[at]
+            self[word] = n
 
     def __missing__(self, piece: str) -> int:
-        self[piece] = self.encoder.size(piece)
+        self.learn((piece,))
         return self[piece]
 
 
@@ -162,13 +181,24 @@ class TrieEncoder:
         self.v = vocabulary
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.sizes = Sizes(self)
         self.split = regex.compile(PRETOKEN).findall
         self.added = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.v.added, key=len, reverse=True)) + ")") if self.v.added else None
 
     def learn(self, words: set[str]) -> None:
-        """Walk the trie of the words depth-first; keep each word's ids (packed as uint32).
+        """Keep each word's ids (packed as uint32)."""
+        for word, at, last, begins in self.walked(words):
+            out = []
+            while at:
+                out.append(last[at])
+                at = begins[at]
+            out.reverse()
+            self.known[word] = struct.pack(f"<{len(out)}I", *out)
+
+    def walked(self, words: Iterable[str]) -> Iterator[tuple[str, int, list[int], list[int]]]:
+        """Walk the trie of the words depth-first: each word, its length in bytes, and the last token and its place for all places.
 
-        The trie is held as the sorted list of its words: in that order a word
+        The two lists are the walk's own and change when it goes on.  The trie is held as the sorted list of its words: in that order a word
         leaves the path of the word before it where their common prefix ends, so
         ``last`` always has the states on the path from the root.
         """
@@ -208,12 +238,7 @@ class TrieEncoder:
                     break
                 else:
                     raise ValueError(f"the vocabulary has no encoding for {path[:here]!r}")
-            out, at = [], size
-            while at:
-                out.append(last[at])
-                at = begins[at]
-            out.reverse()
-            self.known[word] = struct.pack(f"<{len(out)}I", *out)
+            yield word, size, last, begins
             before = path
 
     def store(self, words: set[str]) -> None:

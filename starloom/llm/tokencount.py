@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import Sizes, encoder, slices
+from .bpe import encoder, slices
 from .common import like, small_batches, text_column
 
 #: Pre-tokens of a leaf when the tree is made; characters after its end that a match may have looked at.
@@ -31,10 +31,13 @@ LEAF, LOOKAHEAD = 32, 2
 
 
 class CountTree:
-    """The tree of one document; ``count`` gives the tokens of a pre-token, ``tokens`` are the pre-tokens if known."""
+    """The tree of one document; ``count`` gives the tokens of a pre-token, ``tokens`` are the pre-tokens if known.
 
-    def __init__(self, text: str, split, count, tokens: list[str] | None = None):
-        self.split, self.count, self.encoded = split, count, 0
+    ``reach``: characters after an edit that are looked at first; more than an added token's string has.
+    """
+
+    def __init__(self, text: str, split, count, tokens: list[str] | None = None, reach: int = 32):
+        self.split, self.count, self.encoded, self.reach = split, count, 0, reach
         tokens = split(text) if tokens is None else tokens
         self.leaves = [tokens[i : i + LEAF] for i in range(0, len(tokens), LEAF)] or [[]]
         self.size = 1
@@ -66,14 +69,16 @@ class CountTree:
                 i += 1
         return i - self.size, start
 
-    def _put(self, leaf: int, tokens: list[str], was: int, fresh: int) -> None:
-        """Replace a leaf; ``was`` tokens of the old ones are gone and ``fresh`` new ones came."""
+    def _put(self, leaf: int, tokens: list[str], gone: list[str], fresh: list[str]) -> None:
+        """Replace a leaf, of whose old pre-tokens ``gone`` went and ``fresh`` came."""
         self.leaves[leaf] = tokens
+        chars = sum(map(len, fresh)) - sum(map(len, gone))
+        n = sum(map(self.count, fresh)) - sum(map(self.count, gone))
         i = leaf + self.size
-        self.chars[i], self.tokens[i] = sum(map(len, tokens)), self.tokens[i] - was + fresh
-        while i > 1:
+        while i:
+            self.chars[i] += chars
+            self.tokens[i] += n
             i //= 2
-            self._sum(i)
 
     def replace(self, start: int, stop: int, new: str) -> None:
         """Replace the characters from start to stop."""
@@ -83,8 +88,12 @@ class CountTree:
         sums = list(accumulate(map(len, head), initial=at))
         k = bisect.bisect_left(sums, start - (LOOKAHEAD - 1), 1) - 1
         begin, end, old, ends, leaf = sums[k], sums[-1], head[k:], sums[k + 1 :], first
+        met, near = None, bisect.bisect_left(sums, stop + self.reach)
+        if near < len(head):  # most edits are met at once, long before the leaf's end
+            text = "".join(head[k:near])
+            met = self._meets(text[: start - begin] + new + text[stop - begin :], begin, stop, len(new) - (stop - start), ends[: near - k], False)
         # take old pre-tokens, a leaf at a time, until the new ones fall in with them
-        while True:
+        while met is None:
             done = leaf + 1 >= len(self.leaves)
             if end >= stop or done:
                 text = "".join(old)
@@ -103,12 +112,12 @@ class CountTree:
         self.encoded += len(fresh)
         left = taken
         in_head = min(left, len(head) - k)
-        self._put(first, head[:k] + fresh + head[k + in_head :], sum(map(self.count, gone[:in_head])), sum(map(self.count, fresh)))
+        self._put(first, head[:k] + fresh + head[k + in_head :], gone[:in_head], fresh)
         used = in_head
         for i in range(first + 1, leaf + 1):
             m = min(taken - used, len(self.leaves[i]))
             if m:
-                self._put(i, self.leaves[i][m:], sum(map(self.count, gone[used : used + m])), 0)
+                self._put(i, self.leaves[i][m:], gone[used : used + m], [])
             used += m
         if len(self.leaves[first]) > 64 * LEAF:
             self._spread()
@@ -119,7 +128,7 @@ class CountTree:
         A leaf gets here after 63 * LEAF insertions, so that each insertion's share of this is small.
         """
         encoded, tokens = self.encoded, [t for leaf in self.leaves for t in leaf]
-        self.__init__("", self.split, self.count, tokens)
+        self.__init__("", self.split, self.count, tokens, self.reach)
         self.encoded = encoded
 
     def _meets(self, changed: str, begin: int, stop: int, shift: int, ends: list[int], done: bool):
@@ -173,6 +182,7 @@ def edited_counts(docs: DataFrame, tokenizer: str, rules: list[tuple[str, str]]
     def run(batches):
         enc = encoder(tokenizer)
         compiled = [(regex.compile(p), new) for p, new in rules]
+        reach = max(32, *(len(s) + LOOKAHEAD for s in enc.v.added), 0)
         for batch in batches:
             col = text_column(batch)
             for i, texts in slices(col, 1 << 20):
@@ -180,9 +190,9 @@ def edited_counts(docs: DataFrame, tokenizer: str, rules: list[tuple[str, str]]
                 given = like(part, edits).to_pylist() if edits else [None] * len(texts)
                 rows = []
                 split = list(map(enc.pieces, texts))
-                sizes = Sizes(enc, set().union(*split))
+                enc.sizes.learn(set().union(*split))
                 for text, own, tokens in zip(texts, given, split, strict=True):
-                    tree = CountTree(text, enc.pieces, sizes.__getitem__, tokens)
+                    tree = CountTree(text, enc.pieces, enc.sizes.__getitem__, tokens, reach)
                     n, pre = tree.total, sum(map(len, tree.leaves))
                     todo = given_edits(text, own) if edits else rule_edits(text, compiled)
                     for start, stop, new in sorted(todo, reverse=True):

@@ -92,6 +92,26 @@ def test_long_insertions_and_odd_edits(spark):
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in ((1, "aXdZ"), (2, "abc"), (3, "new"), (4, "bc"))}
 
 
+def test_edits_look_at_little_text(monkeypatch):
+    """An edit splits a short stretch, not the rest of its leaf; words known from earlier slices aren't encoded again."""
+    monkeypatch.setattr(tokencount, "LEAF", 1000)
+    e = bpe.TrieEncoder(bpe.Vocabulary(PATH))
+    words, looked = [f" word{i}" for i in range(96)], []
+    text = "".join(words)
+    e.sizes.learn(e.pieces(text))
+    split = lambda s: looked.append(len(s)) or e.pieces(s)
+    tree = tokencount.CountTree(text, split, e.sizes.__getitem__, e.pieces(text))
+    for at in range(600, 0, -25):
+        tree.replace(at, at + 3, "x$")
+        text = text[:at] + "x$" + text[at + 3 :]
+        assert looked[-1] < 70 and tree.total == sum(map(e.size, e.pieces(text)))
+    assert tree.text() == text
+    walked = []
+    e.walked = lambda new: walked.extend(new) or iter(())
+    e.sizes.learn(e.pieces("".join(words[:50])))
+    assert not walked
+
+
 def test_long_words_without_common_beginnings():
     t, enc = tokenizers.Tokenizer.from_file(str(PATH)), bpe.TrieEncoder(bpe.Vocabulary(PATH))
     words = ["".join(RND.choice("漢字仮名交") for _ in range(n)) for n in (40, 41, 3000, 20_000)] + ["漢" * 33, "漢" * 34 + "字"]
