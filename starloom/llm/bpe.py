@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import like, small_batches, text_column
+from .common import kept_in_worker, like, small_batches, text_column
 
 #: The public pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -290,13 +290,12 @@ class TrieEncoder:
         return b"".join(map(self.v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_encoders: dict[str, TrieEncoder] = {}
-
-
 def encoder(path: str) -> TrieEncoder:
-    if path not in _encoders:
-        _encoders[path] = TrieEncoder(Vocabulary(path))
-    return _encoders[path]
+    """The process's encoder of that vocabulary, kept until another operator runs there."""
+    encoders = kept_in_worker("encoders", dict)
+    if path not in encoders:
+        encoders[path] = TrieEncoder(Vocabulary(path))
+    return encoders[path]
 
 
 def slices(col: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, list[str]]]:

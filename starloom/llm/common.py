@@ -7,7 +7,10 @@ A-Z only.  Both are byte-level rules, so whole Arrow batches are handled as one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,27 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+_kept: dict[str, object] = {}
+
+
+def kept_in_worker(name: str, make: Callable[[], object]):
+    """What this process keeps from task to task under ``name``; made, in place of what it kept under other names, if it isn't there."""
+    if name not in _kept:
+        drop_kept()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def drop_kept() -> None:
+    """Give the memory of what this process keeps back to the system: a worker that one operator's tasks have left runs the next one's."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def crc_mod(key: str, n: int):
     """crc32 of the key as text, modulo n (-1 for a null key)."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % F.lit(n), F.lit(-1))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gram_hashes, like, lower_words, small_batches, steps, text_column
+from .common import drop_kept, gram_hashes, like, lower_words, small_batches, steps, text_column
 
 STRIDE, WALKS, SAMPLES, DRAWN = 4, 3, 6, 5
 #: Words that a size class's walk covers at least; its walk has twice as many steps.
@@ -189,6 +189,7 @@ def occurrences(docs: DataFrame, items: list[tuple[int, str]], max_edit_percent:
     kind = docs.schema[key].dataType
 
     def run(batches):
+        drop_kept()
         ix: ItemIndex = index.value
         for batch in batches:
             for i, j, raw, off in steps(text_column(batch)):
@@ -223,6 +224,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_edit_percent: int = 20, blo
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, max_edit_percent))
 
         def run(batches, index=index):
+            drop_kept()
             ix: ItemIndex = index.value
             for batch in batches:
                 for i, j, raw, off in steps(text_column(batch)):

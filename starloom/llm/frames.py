@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import like
+from .common import drop_kept, like
 
 #: Members of a frame that are compared with its leader in one task's group; rounds that gather members outside.
 BLOCK, ROUNDS = 1000, 1
@@ -84,6 +84,7 @@ def differences(frames: DataFrame, sets: DataFrame, percent: int, kept) -> DataF
     of_lead = parts.join(sets.select(F.col("id").alias("lead"), F.col("s").alias("of_lead")), "lead").select("lead", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "of_lead")
 
     def run(batches):
+        drop_kept()
         for batch in batches:
             t, s, d = [], [], []
             for x, y in zip(like(batch, "s"), like(batch, "of_lead"), strict=True):

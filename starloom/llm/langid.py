@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, crc_mod, like, small_batches, text_column, utf8_bytes
+from .common import LOWER, crc_mod, drop_kept, like, small_batches, text_column, utf8_bytes
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 12, 8
 
@@ -174,6 +174,7 @@ def identify(docs: DataFrame, scorer: Scorer | None, key: str = "doc_id", keep:
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # tables of a fixed size
 
     def run(batches):
+        drop_kept()
         net = shared.value
         for batch in batches:
             col = text_column(batch)

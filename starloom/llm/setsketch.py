@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import frames
-from .common import drop_path, gram_hashes, like, lower_words, mix, shared_path, small_batches, steps, text_column, written
+from .common import drop_kept, drop_path, gram_hashes, like, lower_words, mix, shared_path, small_batches, steps, text_column, written
 
 REGISTERS, BAND, BASE, RATE, TOP = 112, 4, 1.02, 20.0, 4094
 #: Buckets up to this size give all their pairs.
@@ -91,6 +91,7 @@ def sketches(docs: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     kind = docs.schema[key].dataType
 
     def run(batches):
+        drop_kept()
         for batch in batches:
             for i, j, raw, off in steps(text_column(batch)):
                 sets = list(shingle_sets(raw, off, k))
@@ -131,6 +132,7 @@ def estimated_jaccard(more: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np
 
 
 def _kept_pairs(batches, fits):
+    drop_kept()
     for batch in batches:
         for i in range(0, len(batch), 2000):
             part = batch.slice(i, 2000)
@@ -176,6 +178,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, key: str) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches):
+        drop_kept()
         bits = shared.value
         for batch in batches:
             at = like(batch, "_h").to_numpy(zero_copy_only=False)

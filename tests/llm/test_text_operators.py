@@ -5,12 +5,13 @@ import hashlib
 import math
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
 import pytest
 
-from starloom.llm import bpe, chat, decontam, langid, lm, quality, secrets, setsketch, sharding, tokencount
+from starloom.llm import bpe, chat, decontam, frames, langid, lm, quality, secrets, setsketch, sharding, tokencount
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
@@ -64,6 +65,36 @@ def test_bpe_odd_strings():
         assert e.decode(p) == s
 
 
+def test_a_worker_drops_the_encoder_when_the_next_operator_runs_there(spark, docs, monkeypatch):
+    runs = []
+
+    def noted(self, run, schema, there=type(docs).mapInArrow):
+        runs.append(run)
+        return there(self, run, schema)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", noted)
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id bigint, text string")
+    pairs = spark.createDataFrame([], "a bigint, b bigint, ra binary, rb binary, na bigint, nb bigint, sa binary, sb binary")
+    wanted = spark.createDataFrame([], "id bigint, rep bigint, n bigint, f1 bigint, f2 bigint")
+    framed = spark.createDataFrame([], "lead bigint, id bigint, score bigint")
+    langid.identify(docs, None)
+    setsketch.sketches(docs, 5)
+    setsketch.full_sets(docs, wanted, 5, "doc_id")
+    setsketch.likely(pairs, 0.5)
+    setsketch.confirmed(pairs, 80)
+    frames.differences(framed, spark.createDataFrame([], "id bigint, s binary"), 80, lambda df, label: df)
+    decontam.clean(docs, items)
+    decontam.contaminated(docs, items)
+    assert len(runs) == 8
+    bpe.encode_documents(docs, PATH)
+    assert runs.pop() and bpe.encoder(PATH) is bpe.encoder(PATH)  # kept from task to task of its own operator
+    for run in runs:
+        left = weakref.ref(bpe.encoder(PATH))
+        assert left() is bpe.encoder(PATH)
+        assert list(run(iter(()))) == []
+        assert left() is None
+
+
 def test_edit_aware_counts():
     e = bpe.encoder(PATH)
     letters = "abcde the 's  \n\t'll12.,é "
