@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed
 from .numbering import numbered
 from .scd import same_key
 
@@ -64,14 +65,61 @@ def edge_projection(facts: DataFrame, subject: str, obj: str, properties: list[s
     return facts.select(F.col(subject).alias("subject_id"), F.col(obj).alias("object_id"), *(properties or []))
 
 
+#: Of a self-join: facts and pairs that a task gets, rows of a key that stay together, rows for which a task is worth starting.
+TASK_FACTS, TASK_PAIRS, BLOCK, LEAST = 400_000, 1_000_000, 1_000, 10_000
+
+
 def self_join_edges(facts: DataFrame, subject: str, via: str, properties: list[str]) -> DataFrame:
     """Pairs of subjects that share a key, smaller first, properties summed over both sides and all shared keys.
 
     Facts are added up by (key, subject) first; the pairs of a key are the result itself.
+    The facts of each key are counted beforehand (a job of its own), and as many tasks are
+    made as the facts and pairs need, so that what one task holds doesn't grow with the
+    input or depend on the session's number of partitions.  Keys of more than BLOCK facts
+    are dealt out by blocks of subjects, a task for two of them.
     """
-    a = facts.groupBy(via, subject).agg(*(F.sum(p).alias(p) for p in properties))
-    j = a.alias("a").join(a.alias("b"), (F.col(f"a.{via}") == F.col(f"b.{via}")) & (F.col(f"a.{subject}") < F.col(f"b.{subject}")))
-    return j.groupBy(F.col(f"a.{subject}").alias("subject_id"), F.col(f"b.{subject}").alias("object_id")).agg(*(F.sum(F.col(f"a.{p}") + F.col(f"b.{p}")).alias(p) for p in properties))
+    known = facts.select(via, subject, *properties).filter(F.col(via).isNotNull() & F.col(subject).isNotNull())
+    of_key = known.groupBy(via).agg(F.count("*").alias("_n"))
+    large, n = F.col("_n") > BLOCK, F.col("_n")
+    rows, pairs, others = (int(v or 0) for v in of_key.agg(F.sum(F.when(~large, n)), F.sum(F.when(~large, F.expr("_n * (_n - 1) div 2"))), F.sum(F.when(large, n))).first())
+    keys = F.broadcast(of_key.filter(large).select(via))
+    rest = known.join(keys, via, "left_anti") if others else known
+    sums = [F.sum(p).alias(p) for p in properties]
+    own = _dealt(rest, [via], _tasks(facts, rows, pairs)).groupBy("_part", via, subject).agg(*sums)
+    found = _pairs(own, own, [via], subject, properties)
+    if others:
+        tasks = _tasks(facts, others, 0)
+        # the facts of one subject are added up where they are dealt from, before they meet
+        apart = known.join(keys, via, "left_semi").withColumn("_from", F.spark_partition_id()).repartition(tasks, via, subject, "_from").groupBy(via, subject, "_from").agg(*sums)
+        apart = checkpointed(apart.repartition(tasks, via, subject).groupBy(via, subject).agg(*(F.sum(p).cast(own.schema[p].dataType).alias(p) for p in properties)), "edges")
+        blocks = apart.groupBy(via).agg(F.count("*").alias("_n")).withColumn("_blocks", F.ceil(n / BLOCK))
+        rows, more = (int(v or 0) for v in blocks.agg(F.sum(n * F.col("_blocks")), F.sum(F.expr("_n * (_n - 1) div 2"))).first())
+        each = apart.join(F.broadcast(blocks.select(via, "_blocks")), via).withColumn("_own", F.pmod(F.xxhash64(subject), "_blocks")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
+        cell, tasks = [via, "_x", "_y"], _tasks(facts, rows, more)
+        left, right = (_dealt(each.withColumns({"_x": F.col(x), "_y": F.col(y)}), cell, tasks).select("_part", *cell, subject, *properties) for x, y in (("_own", "_other"), ("_other", "_own")))
+        found, pairs = found.unionByName(_pairs(left, right, cell, subject, properties)), pairs + more
+    met = found.repartition(_tasks(facts, 0, pairs), "subject_id", "object_id").groupBy("subject_id", "object_id")
+    return met.agg(*(F.sum(p).cast(found.schema[p].dataType).alias(p) for p in properties))
+
+
+def _tasks(facts: DataFrame, rows: int, pairs: int) -> int:
+    """As many as facts and pairs need, in whole rounds of those that run at once; of small inputs, less than a round."""
+    few = max(1, min(facts.sparkSession.sparkContext.defaultParallelism, -(-max(rows, pairs) // LEAST)))
+    return -(-max(1, -(-rows // TASK_FACTS), -(-pairs // TASK_PAIRS)) // few) * few
+
+
+def _dealt(rows: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """Rows in the partition whose number is in _part, so that joins and groups by _part and more stay in it."""
+    return rows.withColumn("_part", F.pmod(F.hash(*keys), F.lit(tasks))).repartitionById(tasks, F.col("_part"))
+
+
+def _pairs(left: DataFrame, right: DataFrame, keys: list[str], subject: str, properties: list[str]) -> DataFrame:
+    """Pairs within a key, summed in each partition."""
+    on = F.col(f"a.{subject}") < F.col(f"b.{subject}")
+    for k in ["_part", *keys]:
+        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    by = [F.col("a._part"), F.col(f"a.{subject}").alias("subject_id"), F.col(f"b.{subject}").alias("object_id")]
+    return left.alias("a").join(right.alias("b"), on).groupBy(*by).agg(*(F.sum(F.col(f"a.{p}") + F.col(f"b.{p}")).alias(p) for p in properties)).drop("_part")
 
 
 def resolve(facts: DataFrame, dim: DataFrame, pairs: list[tuple[str, str]], sk: str, name: str, at: str | None = None) -> DataFrame:
